@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -50,7 +51,7 @@ class Packing:
     window: int = 2048
     separator: int = 1
     sentence_penalty: float = 3.0
-    inside_penalty: float = 10.0
+    inside_penalty: float = 8.0
     stride: int = 32
     stretch: int = 48
 
@@ -137,7 +138,10 @@ class Encoder:
 
 
 def cuts(places: np.ndarray, penalties: np.ndarray, window: int) -> list[int]:
-    """Indices into `places` (rising, from 0, no two neighbours over `window` apart) of the cheapest chain of cuts from the first to the last."""
+    """Indices into `places` (rising, from 0, no two neighbours over `window` apart) of the cheapest chain of cuts from the first to the last.
+
+    The last window's padding isn't charged: the stream goes on there, or the rest is split into powers of two.
+    """
     place, penalty = places.tolist(), penalties.tolist()
     n = len(place)
     cost, back = [0.0] * n, [0] * n
@@ -153,6 +157,8 @@ def cuts(places: np.ndarray, penalties: np.ndarray, window: int) -> list[int]:
         while queue and queue[-1][0] >= key:
             queue.pop()
         queue.append((key, j))
+    low = place[-1] - window
+    back[-1] = min((i for i in range(bisect_left(place, low), n - 1)), key=cost.__getitem__)
     chain = [n - 1]
     while chain[-1]:
         chain.append(back[chain[-1]])

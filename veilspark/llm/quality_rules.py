@@ -38,7 +38,7 @@ class Fences:
     """How far beyond the quartiles of its group a ratio may lie, and the slack that even a constant ratio has."""
 
     widths: float = 6.0
-    slack: tuple[float, float, float, float] = (1.5, 0.05, 0.2, 0.1)
+    slack: tuple[float, float, float, float] = (1.5, 0.05, 0.3, 0.25)
     least: int = 50
     k: int = 200
 

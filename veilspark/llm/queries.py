@@ -25,6 +25,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm.ngram_join import similar
+
+    return similar(table(spark, sf_dir, "documents"))
+
+
 def op7_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilspark.llm import compression_classifier as c
 

@@ -17,6 +17,12 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
+def op1_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm.chunk_dedup import deduplicated
+
+    return deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -46,6 +46,15 @@ def op7_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm import toxicity as t
+
+    docs = table(spark, sf_dir, "documents")
+    model = t.fit(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id")) != 0)
+    scored = t.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilspark.llm.decontaminate import leaks
 

@@ -31,6 +31,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm.maximal_repeats import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilspark.llm.ngram_join import similar
 

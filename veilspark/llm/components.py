@@ -1,4 +1,4 @@
-"""Connected components by label propagation with pointer jumping, in DataFrames."""
+"""Connected components by contraction, in DataFrames."""
 
 from __future__ import annotations
 
@@ -9,23 +9,35 @@ from veilspark.llm.common import durable
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """For each node of `edges` (a long, b long) the smallest node of its component: node, label.
+    """For each node of `edges` (a long, b long) one node of its component, the same for all of them: node, label.
 
-    Each round sends labels both ways along the edges and to the label's own label, keeps the least, and is written to
-    the checkpoint folder, so both sides of the next joins are plain tables whose skewed keys Spark can split. The
-    number of rounds grows with the logarithm of a component's width; it ends when no label changes.
+    In each round every node points to its least neighbour (or itself), and then to what that one points to. The edges
+    are rewritten to these targets; loops and doubles go. Edges and nodes shrink from round to round, and their number
+    of rounds grows with the logarithm of a component's width. The rounds' pointers are then followed from the last to
+    the first. Each round's tables are written to the checkpoint folder, so that the joins' sides are plain tables
+    whose skewed keys Spark can split.
     """
-    edges = durable(edges.where("a <> b").distinct())
-    labels = durable(edges.select(F.col("a").alias("node")).union(edges.select("b")).groupBy("node").agg(F.min("node").alias("label")))
+    def clean(e: DataFrame) -> DataFrame:
+        return durable(e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+    edges, steps = clean(edges), []
     for _ in range(rounds):
-        a = edges.join(labels, edges["a"] == labels["node"]).select(F.col("b").alias("node"), "label")
-        b = edges.join(labels, edges["b"] == labels["node"]).select(F.col("a").alias("node"), "label")
-        up = labels.select(F.col("node").alias("n"), F.col("label").alias("l"))
-        far = labels.select("node", F.col("label").alias("via")).where("node <> via").join(up, F.col("via") == F.col("n")).select("node", F.col("l").alias("label"))
-        own = labels.select("node", "label", F.col("label").alias("old"))
-        sent = a.unionByName(b).unionByName(far).withColumn("old", F.lit(None).cast("long"))
-        new = durable(own.unionByName(sent).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old")))
-        labels = new.select("node", "label")
-        if new.where("label <> old").isEmpty():
-            return labels
-    raise RuntimeError(f"labels still changed after {rounds} rounds")
+        if edges.isEmpty():
+            break
+        ends = edges.select(F.col("b").alias("node"), F.col("a").alias("to")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("to")))
+        point = durable(ends.groupBy("node").agg(F.min("to").alias("to")))
+        next_ = point.select(F.col("node").alias("n"), F.col("to").alias("t"))
+        point = durable(point.join(next_, F.col("to") == F.col("n")).select("node", F.col("t").alias("to")))
+        steps.append(point)
+        left = point.select(F.col("node").alias("a"), F.col("to").alias("x"))
+        right = point.select(F.col("node").alias("b"), F.col("to").alias("y"))
+        edges = clean(edges.join(left, "a").join(right, "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    else:
+        raise RuntimeError(f"edges were left after {rounds} rounds")
+    if not steps:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    labels = steps[-1].select("node", F.col("to").alias("label"))
+    for step in steps[-2::-1]:
+        after = labels.select(F.col("node").alias("n"), "label")
+        labels = durable(step.join(after, F.col("to") == F.col("n"), "left").select("node", F.coalesce("label", "to").alias("label")))
+    return labels

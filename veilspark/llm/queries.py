@@ -23,6 +23,18 @@ def op1_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op2_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm.quotes import linked
+
+    return linked(table(spark, sf_dir, "conversations"))
+
+
+def op3_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm.backoff_lm import backoff_scores
+
+    return backoff_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -123,7 +123,7 @@ def oracle_sql() -> dict[str, str]:
         "validator_pesel": f"SELECT c_custkey, v AS value FROM (SELECT c_custkey, lpad(CAST(c_custkey * 1000003 AS VARCHAR), 11, '0') AS v FROM customer) WHERE (10 - ({_sum((1, 3, 7, 9, 1, 3, 7, 9, 1, 3))}) % 10) % 10 = {_DIGIT.format(11)}",
         "event_status_changes": "SELECT event_type, count(*) AS changes, count(DISTINCT user_id) AS users FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE p IS DISTINCT FROM event_type GROUP BY event_type",
         "latest_event": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
-        "event_islands": "WITH e AS (SELECT user_id, event_type, epoch_ms(ts) AS s, epoch_ms(ts) + 60000 AS t FROM events), m AS (SELECT *, CASE WHEN s - max(t) OVER (PARTITION BY user_id, event_type ORDER BY s, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 3600000 THEN 0 ELSE 1 END AS b FROM e), i AS (SELECT *, sum(b) OVER (PARTITION BY user_id, event_type ORDER BY s, t ROWS UNBOUNDED PRECEDING) AS g FROM m) SELECT user_id, event_type, min(s) AS start_ms, max(t) AS end_ms, count(*) AS n FROM i GROUP BY user_id, event_type, g",
+        "event_islands": "WITH e AS (SELECT user_id, event_type, epoch_us(ts) // 1000 AS s, epoch_us(ts) // 1000 + 60000 AS t FROM events), m AS (SELECT *, CASE WHEN s - max(t) OVER (PARTITION BY user_id, event_type ORDER BY s, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 3600000 THEN 0 ELSE 1 END AS b FROM e), i AS (SELECT *, sum(b) OVER (PARTITION BY user_id, event_type ORDER BY s, t ROWS UNBOUNDED PRECEDING) AS g FROM m) SELECT user_id, event_type, min(s) AS start_ms, max(t) AS end_ms, count(*) AS n FROM i GROUP BY user_id, event_type, g",
         "order_report": "SELECT CAST(o_custkey % 50 AS BIGINT) AS project_id, count(*) AS files, count(*) FILTER (o_orderstatus = 'F') AS completed, count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) AS failed, CAST(0 AS BIGINT) AS cancelled, count(*) FILTER (o_orderstatus = 'O') AS pending, CAST(sum(o_orderkey) AS BIGINT) AS bytes, count(*) AS matches, bool_or(o_orderkey % 97 = 0) AS any_unprocessed FROM orders GROUP BY 1",
         "page_archive_categories": "SELECT CASE WHEN p_partkey % 11 = 0 THEN 'DANGEROUS' ELSE list_extract(['REDACTABLE', 'DANGEROUS', 'PREVIEW_ONLY', 'NESTED', 'CONVERTIBLE', 'UNSUPPORTED'], CAST(p_partkey % 6 AS INTEGER) + 1) END AS category, count(*) AS n FROM part GROUP BY 1",
     }

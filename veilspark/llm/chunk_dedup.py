@@ -9,8 +9,8 @@ Chunks are aggregated by digest before anything is joined, so a passage that a t
 per task there. Where the first holders are joined back, Spark splits such a key's rows. A document's repeats are at
 most its chunks.
 
-Defined cases: a null text stays null, and it and an empty text have no chunks; a null doc_id is ordered by its text's
-hash; rows with the same doc_id don't count as each other's repeats; long texts are hashed in segments.
+Defined cases: a null text stays null, and it and an empty text have no chunks; a null doc_id comes after all
+others, by its text's hash; rows with the same doc_id don't count as each other's repeats; long texts are hashed in segments.
 """
 
 from __future__ import annotations
@@ -75,7 +75,7 @@ def chunks(data: np.ndarray, how: Chunking) -> list[int]:
 
 
 def order_key(doc_id: Column, text: Column) -> Column:
-    return F.coalesce(doc_id.cast("long"), F.xxhash64(text))
+    return F.coalesce(doc_id.cast("long"), F.lit(2**62) + F.pmod(F.xxhash64(text), F.lit(2**61)))
 
 
 def _rows(how: Chunking):

@@ -4,7 +4,8 @@
 other half. A text is compressed in blocks of `BLOCK` bytes, each on its own, so that the dictionaries and not the
 text's own past decide. Two figures go through a logistic curve: the difference of the compressed sizes under the two
 dictionaries over their sum, and the size of the whole over its length, with its square, which tells text that only
-repeats itself. `score` does this to every whole text inside the tasks that read it; no shuffle.
+repeats itself. Figures beyond those of the calibrating half are moved to its rim: a text that a dictionary holds is an
+extreme case of its class, and nothing else. `score` does this to every whole text inside the tasks that read it; no shuffle.
 
 Defined cases: an empty or null text has the prior's score; rows with a null label or a null text aren't learned from;
 with labels of one class only, or none, every text gets the prior. Text may be of any length.
@@ -13,6 +14,7 @@ with labels of one class only, or none, every text gets the prior. Text may be o
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,6 +48,8 @@ class Model:
     good: bytes
     bad: bytes
     level: int
+    low: tuple[float, ...]
+    high: tuple[float, ...]
     mean: tuple[float, ...]
     spread: tuple[float, ...]
     weights: tuple[float, ...]
@@ -75,12 +79,19 @@ class _Sizes:
 
 
 def _logistic(X: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, float]:
-    """Weights and offset of a logistic curve, by Newton's method with a small ridge."""
+    """Weights and offset of a logistic curve, by Newton's method with a small ridge; steps are halved until they help."""
     X = np.concatenate([X, np.ones((len(X), 1))], 1)
     w, ridge = np.zeros(X.shape[1]), np.array([0.3] * (X.shape[1] - 1) + [1e-6])
+
+    def loss(v: np.ndarray) -> float:
+        z = X @ v
+        return float((np.logaddexp(0, z) - y * z).sum() + (ridge * v * v).sum() / 2)
+
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(X @ w, -30, 30)))
         step = np.linalg.solve((X.T * (p * (1 - p))) @ X + np.diag(ridge), X.T @ (y - p) - ridge * w)
+        while loss(w + step) > loss(w) and np.abs(step).max() > 1e-9:
+            step /= 2
         w += step
         if np.abs(step).max() < 1e-9:
             break
@@ -105,19 +116,23 @@ def fit_texts(rows: list[tuple[str, int]], settings: Settings) -> Model:
     by = {v: [t.encode() for t, y in rows if y == v and t] for v in (0, 1)}
     prior = (len(by[1]) + 1) / (len(by[0]) + len(by[1]) + 2)
     if min(len(x) for x in by.values()) < 4:
-        return Model(b" " * 64, b" " * 64, settings.level, (0.0,) * 5, (1.0,) * 5, (0.0,) * 5, math.log(prior / (1 - prior)), prior)
+        return Model(b" " * 64, b" " * 64, settings.level, (0.0,) * 3, (0.0,) * 3, (0.0,) * 5, (1.0,) * 5, (0.0,) * 5, math.log(prior / (1 - prior)), prior)
+    seen = Counter(line for texts in by.values() for t in texts for line in set(t.split(b"\n")))
     cut = {}
     for v, texts in by.items():
-        # a third from the start, the rest from the middle: beginnings are often shared lines
+        # lines of several texts (licences, headings) say nothing of a class
+        texts = [b"\n".join(x for x in t.split(b"\n") if seen[x] == 1) for t in texts]
         parts = [t[: settings.part // 3] + t[len(t) // 2 : len(t) // 2 + settings.part] for t in texts[::2]]
         share = max(64, settings.dictionary // max(1, len(parts)))
         cut[v] = b"\n".join(p[-share:] for p in parts)[: settings.dictionary].ljust(64)
-    sizes = _Sizes(Model(cut[1], cut[0], settings.level, (), (), (), 0.0, prior))
-    X = _expanded(np.array([sizes.figures(t) for v in (0, 1) for t in by[v][1::2]]))
+    sizes = _Sizes(Model(cut[1], cut[0], settings.level, (), (), (), (), (), 0.0, prior))
+    X = np.array([sizes.figures(t) for v in (0, 1) for t in by[v][1::2]])
+    low, high = np.quantile(X, 0.005, axis=0), np.quantile(X, 0.995, axis=0)
+    X = _expanded(np.clip(X, low, high))
     y = np.array([float(v) for v in (0, 1) for _ in by[v][1::2]])
     mean, spread = X.mean(0), X.std(0) + 1e-9
     weights, offset = _logistic((X - mean) / spread, y)
-    return Model(cut[1], cut[0], settings.level, tuple(mean), tuple(spread), tuple(weights), offset, prior)
+    return Model(cut[1], cut[0], settings.level, tuple(low), tuple(high), tuple(mean), tuple(spread), tuple(weights), offset, prior)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings | None = None) -> Model:
@@ -130,7 +145,7 @@ def score_bytes(model: Model, texts: list[bytes]) -> np.ndarray:
     out = np.full(len(texts), model.prior)
     full = [i for i, t in enumerate(texts) if t]
     if full:
-        X = (_expanded(np.array([sizes.figures(texts[i]) for i in full])) - model.mean) / model.spread
+        X = (_expanded(np.clip(np.array([sizes.figures(texts[i]) for i in full]), model.low, model.high)) - model.mean) / model.spread
         out[full] = 1 / (1 + np.exp(-np.clip(X @ model.weights + model.offset, -40, 40)))
     return out
 

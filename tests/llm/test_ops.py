@@ -76,7 +76,7 @@ def test_packing_round_trip(spark, rows):
 def test_repeats_brute_force(spark, rows):
     from veilspark.llm.maximal_repeats import Repeats, without_repeats
 
-    for how in (Repeats(), Repeats(most=2), Repeats(length=40, piece=12, most=3, block=5)):
+    for how in (Repeats(), Repeats(most=2), Repeats(length=40, piece=12, most=3, blocks=(9, 3, 1))):
         count, L = collections.Counter(), how.length
         for _, t in rows:
             b = (t or "").encode()

@@ -74,22 +74,28 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_BYTES = mixed(np.arange(256, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+_STEP = [np.uint64(int(x) | 1) for x in mixed(np.arange(1, 41, dtype=np.uint64))]
+
+
 def window_hashes(values: np.ndarray, size: int) -> np.ndarray:
     """A 64-bit hash of each run of `size` values, by joining the hashes of shorter runs; out[i] covers values[i : i + size]."""
     n = len(values) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    have, length, out, done = mixed(values.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), 1, None, 0
+    have = _BYTES[values] if values.dtype == np.uint8 else mixed(values.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    level, length, out, done = 0, 1, None, 0
     while True:
         if size & length:
             part = have[done : done + n]
-            out = part.copy() if out is None else mixed(out * np.uint64(0xD6E8FEB86659FD93) + part)
+            out = part.copy() if out is None else out * _STEP[20 + level] + part
             done += length
         if done == size:
-            return out
+            return mixed(out)
         m = len(have) - length
-        have = mixed(have[:m] * np.uint64(0xD6E8FEB86659FD93) + have[length : length + m])
-        length *= 2
+        wide = have[:m] * _STEP[level]
+        wide += have[length : length + m]
+        have, level, length = wide, level + 1, length * 2
 
 
 def rows_like(schema: pa.Schema, **columns: object) -> pa.RecordBatch:

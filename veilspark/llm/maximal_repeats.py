@@ -13,7 +13,7 @@ Which bytes are covered by a string of `length` bytes that starts elsewhere too?
    An interval of at least `length` bytes whose occurrences have different bytes to the left (or a context's rim) is a
    maximal repeat, and comes with all its occurrences.
 4. An anchor that occurs more often is split by content: its windows are grouped by their distance from the anchor, in
-   blocks of `block`, then alone, keyed by the bytes that all windows of a block share. So no task holds a hot anchor.
+   ever smaller blocks, at last alone, keyed by the bytes that all windows of a block share. So no task holds a hot anchor.
 
 Texts are UTF-8 bytes and strings are judged on the input. Defined cases: a null text is empty; texts shorter than
 `length` have no windows; repeated rows (same doc_id and text) each count as an occurrence and get the same result; a
@@ -41,9 +41,9 @@ _LOW = np.uint64((1 << 22) - 1)
 @dataclass(frozen=True)
 class Repeats:
     length: int = 200
-    piece: int = 50
-    most: int = 256
-    block: int = 13
+    piece: int = 64
+    most: int = 400
+    blocks: tuple[int, ...] = (24, 5, 1)  # falling, down to single windows
 
 
 def anchors(data: np.ndarray, starts: np.ndarray, how: Repeats) -> tuple[np.ndarray, ...]:
@@ -179,11 +179,8 @@ def repeats_among(contexts: list[bytes], counts: list[int], how: Repeats) -> lis
     starts = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
     owner = np.repeat(np.arange(len(contexts)), count)
     hashes = window_hashes(data, how.length)[starts]
-    order = np.argsort(hashes, kind="stable")
-    twin = np.zeros(len(starts), bool)
-    same = hashes[order][1:] == hashes[order][:-1]
-    twin[order[1:][same]] = twin[order[:-1][same]] = True
-    used = np.unique(owner[twin])  # contexts without any twin can't hold a repeat
+    order = np.sort(hashes)
+    used = np.unique(owner[np.isin(hashes, np.unique(order[1:][order[1:] == order[:-1]]))])  # contexts without any twin can't hold a repeat
     if not len(used):
         return []
     keep = np.isin(owner, used)
@@ -325,7 +322,7 @@ def without_repeats(docs: DataFrame, how: Repeats | None = None) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(F.col("doc_id"), F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
     long = keyed.where(F.octet_length("text") >= how.length).select("d", "k", "text")
     rows = long.mapInArrow(_contexts(how), f"a long, ctx long, {_ROW}")
-    found = _solve(rows, long, how, [how.block, 1])
+    found = _solve(rows, long, how, list(how.blocks))
     spans = found[0]
     for other in found[1:]:
         spans = spans.unionByName(other)

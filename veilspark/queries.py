@@ -94,7 +94,31 @@ def page_archive_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.groupBy(r.archive_category(F.col("path"), F.lit(False)).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
-NAMES = ("hits_by_source", "email_matches", "ipv4_matches", "all_rules", "masked_phones", "residual_after_masking", "blacklist_hits", "validator_aba", "validator_pesel", "event_status_changes", "latest_event", "event_islands", "order_report", "page_archive_categories")
+def lexicon_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.operators.lexicon import places
+
+    nation, region = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "region")
+    known = region.select(F.lit("province").alias("level"), F.col("r_regionkey").cast("string").alias("code"), F.col("r_name").alias("name")).unionByName(nation.select(F.lit("county").alias("level"), F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("name")))
+    text = F.concat(F.lit("shop "), F.col("s_suppkey").cast("string"), F.lit(" of "), F.col("n_name"), F.lit(" in "), F.col("r_name"))
+    made = _table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    got = places(made.select(F.col("s_suppkey").alias("doc_id"), text.alias("text")), known)
+    return got.groupBy("name", "level").agg(F.count(F.lit(1)).alias("n"))
+
+
+def capacity_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.operators.files import capacity
+
+    ext = F.get(F.array(*map(F.lit, ("docx", "pdf", "zip"))), (F.col("p_partkey") % 3).cast("int"))
+    made = _table(spark, sf_dir, "part").select(F.concat(F.lit("f."), ext).alias("name"), (F.col("p_partkey") * 1_000_000).cast("long").alias("size"))
+    return capacity(made, "name", "size")
+
+
+def gold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("case_id"), F.lit("R").alias("rule_id"), F.col("o_orderstatus").alias("value"), F.col("o_orderkey").alias("k"))
+    return r.precision_recall(n.where("k % 3 <> 0").drop("k"), n.where("k % 5 <> 0").drop("k"))
+
+
+NAMES = ("lexicon_places", "capacity_estimate", "gold_metrics", "hits_by_source", "email_matches", "ipv4_matches", "all_rules", "masked_phones", "residual_after_masking", "blacklist_hits", "validator_aba", "validator_pesel", "event_status_changes", "latest_event", "event_islands", "order_report", "page_archive_categories")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -114,6 +138,9 @@ def _sum(weights: tuple[int, ...]) -> str:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "lexicon_places": "WITH t AS (SELECT n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), m AS (SELECT r.r_name AS name, 'province' AS level FROM t JOIN region r ON contains(t.n_name || ' in ' || t.r_name, r.r_name) UNION ALL SELECT n.n_name, 'county' FROM t JOIN nation n ON contains(t.n_name || ' in ' || t.r_name, n.n_name)) SELECT name, level, count(*) AS n FROM m GROUP BY ALL",
+        "capacity_estimate": "WITH f AS (SELECT p_partkey % 3 AS e, CAST(p_partkey AS BIGINT) * 1000000 AS size FROM part), w AS (SELECT size, greatest(size * CASE WHEN e = 2 THEN 3 ELSE 2 END, 268435456) AS work FROM f) SELECT count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(size) AS BIGINT) AS persistent, max(work) AS workspace, CAST(sum(size) AS BIGINT) + max(work) AS peak FROM w",
+        "gold_metrics": "WITH c AS (SELECT count(*) FILTER (o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0) AS tp, count(*) FILTER (o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0) AS fp, count(*) FILTER (o_orderkey % 3 <> 0 AND o_orderkey % 5 = 0) AS fn FROM orders) SELECT tp, fp, fn, tp / (tp + fp) AS \"precision\", tp / (tp + fn) AS recall FROM c",
         "email_matches": _EMAIL,
         "ipv4_matches": _IPV4,
         "masked_phones": "SELECT c_custkey, CASE WHEN m THEN 'phone ＊＊＊＊＊＊＊＊＊＊＊ of ' ELSE 'phone ' || p || ' of ' END || c_name AS redacted, CAST(m AS INTEGER) AS n FROM (SELECT *, regexp_full_match(p, '1[3-9][0-9]{9}') AS m FROM (SELECT c_custkey, c_name, '13' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS p FROM customer))",

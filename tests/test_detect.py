@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veilspark.operators import detect as d
 from veilspark.operators import reports as r
-from veilspark.plans.rules import RuleSet, check_custom, clean_list, custom_id
+from veilspark.plans.rules import RuleSet, check_custom, clean_list, custom_id, label_literals
 
 
 def texts(spark, *rows):
@@ -73,6 +73,12 @@ def test_pseudonyms(spark):
     assert own.lower() == hmac.new(b"key", b"message", hashlib.sha256).hexdigest()
 
 
+def test_label_literals():
+    assert label_literals("(?:API[ _-]?Key|接口密钥)x") == ("api", "接口密钥")
+    assert label_literals("(?:nhs number|nhs no\\.?)x") == ("nhs number", "nhs no")
+    assert label_literals("(?:a|bc)x") == label_literals("abc") == label_literals("(?:ab)?x") == ()
+
+
 def test_rule_sets():
     s = RuleSet().with_custom("doc no", "business", 50, "DOC-[0-9]{6}")
     assert s.version == 1 and s.rules[-1].rule_id == "CUSTOM_DOC_NO" == custom_id("doc no")

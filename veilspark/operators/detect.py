@@ -9,11 +9,13 @@ columns each, so plans stay small; a text that a pattern doesn't match costs one
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.plans.rules import Rule, RuleSet
+from veilspark.plans.rules import Rule, RuleSet, label_literals
 
 CHUNK = 24
 #: What masks a letter or digit; which characters are masked.
@@ -23,9 +25,13 @@ SPAN = "struct<p:int,l:int,start:int,ord:int,end:int,rule_id:string,category:str
 
 
 def _found(text: Column, rule: Rule) -> tuple[Column, Column]:
-    """A rule's whole matches and its captured values."""
+    """A rule's whole matches and its captured values; null where a text holds none of the labels that the rule needs."""
     whole = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
-    return whole, (F.regexp_extract_all(text, F.lit(rule.regex), F.lit(1)) if rule.group else whole)
+    values = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(1)) if rule.group else whole
+    if labels := label_literals(rule.pattern):
+        held = reduce(or_, (F.col("_low").contains(x) for x in labels))
+        return F.when(held, whole), F.when(held, values)
+    return whole, values
 
 
 def _spans(text: Column, whole: Column, values: Column, between: Column, rule: Rule, order: int, white: tuple[str, ...]) -> Column:
@@ -62,6 +68,8 @@ def candidates(df: DataFrame, rules: RuleSet, text: str = "text", out: str = "ca
     names, got = df.columns, []
     body = F.col(text)
     enabled = rules.enabled
+    # the lower-case text lets most texts skip most labelled rules after a plain search
+    df = df.withColumn("_low", F.translate(F.lower(body), "ſ", "s"))
     for c in range(0, len(enabled), CHUNK):
         part = list(enumerate(enabled))[c : c + CHUNK]
         found = {}
@@ -71,7 +79,7 @@ def candidates(df: DataFrame, rules: RuleSet, text: str = "text", out: str = "ca
         df = df.withColumns(found)
         df = df.withColumns({f"_b{i}": F.when(F.size(f"_w{i}") > 0, F.split(body, rule.regex, -1)) for i, rule in part})
         own = [F.coalesce(_spans(body, F.col(f"_w{i}"), F.col(f"_v{i}" if rule.group else f"_w{i}"), F.col(f"_b{i}"), rule, i, rules.whitelist), _none()) for i, rule in part]
-        df = df.select(*names, *got, F.concat(*own).alias(f"_c{c}"))
+        df = df.select(*names, "_low", *got, F.concat(*own).alias(f"_c{c}"))
         got.append(f"_c{c}")
     black = [F.coalesce(_black(body, t, 10_000 + i), _none()) for i, t in enumerate(rules.blacklist)]
     every = F.concat(*map(F.col, got), *black) if got or black else _none()

@@ -27,6 +27,41 @@ class Rule:
         return f"(?iu){self.pattern}" if self.fold else self.pattern
 
 
+def label_literals(pattern: str) -> tuple[str, ...]:
+    """Lower-case literals of which every match of a pattern that begins with a group of labels holds one; empty if unknown."""
+    if not pattern.startswith("(?:"):
+        return ()
+    depth, parts, now, i, inside = 1, [], "", 3, False
+    while i < len(pattern) and depth:
+        c = pattern[i]
+        if c == "\\":
+            now += pattern[i : i + 2]
+            i += 2
+            continue
+        inside = (inside or c == "[") and c != "]"
+        depth += (c == "(") - (c == ")") if not inside else 0
+        if depth == 0:
+            break
+        if c == "|" and depth == 1 and not inside:
+            parts.append(now)
+            now = ""
+        else:
+            now += c
+        i += 1
+    if depth or pattern[i + 1 : i + 2] in "?*{":
+        return ()
+    out = []
+    for part in [*parts, now]:
+        literal = re.match(r"[^\\\[\](){}?*+.|^$]*", part)[0]
+        rest = part[len(literal) :]
+        if rest[:1] in ("?", "*", "{"):
+            literal = literal[:-1]
+        if len(literal) < 2:
+            return ()
+        out.append(literal.lower())
+    return tuple(dict.fromkeys(out))
+
+
 # Fragments of the patterns of labelled fields.
 FIELD = "[：:=\\s]{0,5}"
 SEPARATOR = "[：:=#\\s]{0,8}"

@@ -111,6 +111,24 @@ BUILT_IN = (
     Rule("IN_AADHAAR", "identity", 92, "(?<!\\d)[2-9]\\d{3}[ -]?\\d{4}[ -]?\\d{4}(?!\\d)", valid=v.india_aadhaar),
     Rule("HK_IDENTITY_CARD", "identity", 92, "(?<![A-Z0-9])[A-Z]{1,2}[ ]?\\d{6}[ ]?\\(?[0-9A]\\)?(?![A-Z0-9])", fold=True, valid=v.hong_kong_id),
     Rule("TW_NATIONAL_ID", "identity", 92, "(?<![A-Z0-9])[A-Z][12]\\d{8}(?![A-Z0-9])", fold=True, valid=v.taiwan_id),
+    labelled("CN_HOUSEHOLD_REGISTER_CONTEXT", "identity", 88, "户口簿(?:号|编号)?|户籍(?:号|编号)|户口(?:号|编号)", IDENTIFIER),
+    labelled("CN_BIRTH_CERTIFICATE_CONTEXT", "identity", 88, "出生医学证明(?:编号|号)?|出生证(?:编号|号)?", IDENTIFIER),
+    labelled("CN_SOCIAL_SECURITY_CARD_CONTEXT", "identity", 90, "社会保障卡(?:号|号码)?|社保卡(?:号|号码)?", "[A-Z0-9][A-Z0-9 -]{7,29}[A-Z0-9]"),
+    labelled("CN_MEDICAL_INSURANCE_NUMBER_CONTEXT", "health_medical", 89, "医疗保险(?:号|编号)|医保(?:号|编号)|参保人编号", IDENTIFIER),
+    labelled("CN_DRIVER_LICENSE_CONTEXT", "identity", 90, "驾驶证(?:号|号码|档案编号)|机动车驾驶证(?:号|号码)?", IDENTIFIER),
+    labelled("CN_VEHICLE_LICENSE_CONTEXT", "vehicle_property", 88, "行驶证(?:号|号码|编号)|机动车行驶证(?:号|号码|编号)?", IDENTIFIER),
+    labelled("CN_PASSPORT_CONTEXT", "identity", 91, "中国护照(?:号|号码)?|护照(?:号|号码)", "[A-Z][A-Z0-9]{7,16}"),
+    labelled("CN_MILITARY_ID_CONTEXT", "identity", 87, "军官证|士兵证|文职人员证|军人保障卡|军人证件", IDENTIFIER),
+    labelled("CN_POLICE_ID_CONTEXT", "identity", 87, "人民警察证|警官证|警员证", IDENTIFIER),
+    labelled("CN_LAWYER_LICENSE_CONTEXT", "legal_case", 91, "律师执业证(?:号|号码)?|律师证(?:号|号码)?", "\\d{17}"),
+    labelled("CN_EMPLOYEE_NUMBER_CONTEXT", "employment", 80, "员工编号|员工号|人员编号|工号|职工编号|雇员编号", IDENTIFIER),
+    labelled("CN_STUDENT_NUMBER_CONTEXT", "education", 84, "学号|学生编号|学生证号", "[A-Z0-9][A-Z0-9-]{4,29}"),
+    labelled("CN_EXAM_ADMISSION_NUMBER_CONTEXT", "education", 84, "准考证号|考试报名号|考生号", "[A-Z0-9][A-Z0-9-]{5,39}"),
+    labelled("CN_PATIENT_ID_CONTEXT", "health_medical", 86, "患者编号|患者ID|病人编号|病人ID|就诊卡号", IDENTIFIER),
+    labelled("CN_MEDICAL_RECORD_CONTEXT", "health_medical", 90, "病历号|病案号|门诊号|住院号|住院流水号", IDENTIFIER),
+    labelled("CN_PRESCRIPTION_NUMBER_CONTEXT", "health_medical", 84, "处方号|处方编号|电子处方号", IDENTIFIER),
+    labelled("CN_LAB_SAMPLE_CONTEXT", "health_medical", 86, "检验单号|检查单号|样本编号|标本编号|病理号|切片号", IDENTIFIER),
+    labelled("CN_HEALTH_RECORD_CONTEXT", "health_medical", 87, "健康档案号|健康档案编号|居民健康档案编号", IDENTIFIER),
     Rule("IPV6_ADDRESS", "network_security", 93, "(?<![0-9A-F:])(?:[0-9A-F]{0,4}:){2,7}[0-9A-F]{0,4}(?![0-9A-F:])", fold=True, valid=v.ipv6),
     Rule("IPV4_CIDR", "network_security", 91, "(?<![0-9.])(?:\\d{1,3}\\.){3}\\d{1,3}/(?:[0-9]|[12]\\d|3[0-2])(?![0-9])", fold=True, valid=v.ipv4_cidr),
     Rule("IPV6_CIDR", "network_security", 91, "(?<![0-9A-F:])(?:[0-9A-F]{0,4}:){2,7}[0-9A-F]{0,4}/(?:\\d|[1-9]\\d|1[01]\\d|12[0-8])(?![0-9])", fold=True, valid=v.ipv6_cidr),

@@ -141,7 +141,8 @@ def backoff_scores(docs: DataFrame, how: Backoff | None = None) -> DataFrame:
     batches = max(1, -(-n_docs // how.batch))
     buckets = max(16, -(-n_bytes // how.bucket_bytes))
     dealt = rows.withColumn("b", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.xxhash64("text")), F.lit(batches))).repartition("b").sortWithinPartitions("b", "doc_id", "text")
-    asked = dealt.select("b", "text").mapInArrow(_ask(how.order, buckets), "q long, b long, keys binary, counts binary")
+    # all columns go in, so that both uses of `dealt` are one exchange
+    asked = dealt.mapInArrow(_ask(how.order, buckets), "q long, b long, keys binary, counts binary")
     answers = asked.repartition("q").sortWithinPartitions("q").mapInArrow(_answer, "b long, q long, totals binary")
 
     def scored(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -245,6 +245,17 @@ def test_backoff_brute_force(spark, rows):
     assert sorted(got) == sorted(want)
 
 
+def test_backoff_registered_order(spark, rows, tmp_path):
+    from veilspark.llm.backoff_lm import Backoff, backoff_scores
+    from veilspark.llm.queries import op3_backoff_lm
+
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    shown = lambda df: sorted((str(r.doc_id), r.n_words, str(round(r.score, 6)) if r.n_words else "") for r in df.collect())
+    got = shown(op3_backoff_lm(spark, str(tmp_path)))
+    assert got == shown(backoff_scores(frame(spark, rows), Backoff(order=3)))
+    assert got != shown(backoff_scores(frame(spark, rows), Backoff(order=2)))
+
+
 def test_quotes(spark):
     from veilspark.llm.quotes import linked
 

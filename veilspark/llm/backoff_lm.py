@@ -30,7 +30,7 @@ from veilspark.llm.common import texts_of, window_hashes, word_hashes, words_of
 
 @dataclass(frozen=True)
 class Backoff:
-    order: int = 2
+    order: int = 3
     alpha: float = 0.4
     batch: int = 400  # documents
     bucket_bytes: int = 4 << 20  # of text for each bucket

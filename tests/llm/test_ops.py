@@ -158,6 +158,17 @@ def test_decontamination(spark):
     assert leaks(frame(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_decontamination_small_and_plain_items(spark):
+    from veilspark.llm.decontaminate import leaks
+
+    items = [(1, "What is 12 + 15?"), (2, "Find the value of 12 kg 5 lb 7 oz in grams"), (3, "Solve 3 4 5 6 7 8 9 10 for x"), (4, "Anna buys 5 apples and 7 pears there"), (5, "Der Hund und die Katze im Haus am See bei Berlin"), (6, "The red bus. The old train. The big ship. The new car waits for them")]
+    pad = "some words before and then. {} and words after it"
+    docs = [(i, pad.format(t)) for i, t in items]
+    docs += [(24, pad.format("Peter buys 9 apples and 3 pears there")), (26, "It is so. The red bus. A old train. The big ship. The new car waits for them"), (33, pad.format("Solve 3 4 5 6 7 8 9 11 for y")), (40, "What is this + that? Find the value. " + prose(3, 60)), (41, items[0][1])]
+    got = sorted((r.doc_id, r.item_id) for r in leaks(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect())
+    assert got == [(i, i) for i in range(1, 7)] + [(24, 4), (26, 6), (41, 1)]
+
+
 def test_quality_rules_measures(spark, rows):
     from veilspark.llm.quality_rules import quality_rules
 

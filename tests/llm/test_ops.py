@@ -278,6 +278,14 @@ def test_quotes(spark):
     assert linked(df).count() == len(m) and linked(df.limit(0)).count() == 0
 
 
+def test_quotes_of_any_length(spark):
+    from veilspark.llm.quotes import linked
+
+    m = [(0, "Yes, agreed"), (1, "> Yes, agreed\nfine"), (2, "今天天气很好。\n我们去公园。"), (3, "> 我们去公园。\n好的"), (4, ":)"), (5, "> :)\nwhat is it"), (6, "ok"), (7, "> OK\nthen")]
+    got = {r.turn: r for r in linked(spark.createDataFrame([(1, a, "r", t) for a, t in m], "conv_id long, turn long, role string, text string")).collect()}
+    assert [got[t].reply_to for t in range(8)] == [None, 0, None, 2, None, 4, None, 6]
+
+
 def test_pipeline(spark, tmp_path):
     pytest.importorskip("public_tokenizers")
     import corpus_pipeline as c

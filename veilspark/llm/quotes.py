@@ -1,7 +1,7 @@
 """Conversations without quotes: quoted passages are linked to the messages they come from.
 
 Each message's lines are told apart by their level (how many `>` they begin with). Lines of one level in a row are a
-passage. Normalised passages and their longer lines are hashed and joined, inside their conversation, to the hashed own
+passage. Normalised passages and their lines, of any length, are hashed and joined, inside their conversation, to the hashed own
 passages and lines of earlier messages; those are aggregated to their first holder before the join. A message replies to
 the latest message that its outermost quotes come from. Threads are found by doubling pointers to what is replied to.
 
@@ -44,7 +44,7 @@ def passages(rows: Column) -> Column:
     return F.filter(F.aggregate(rows, F.array().cast(kind), step), lambda p: p["body"] != "")
 
 
-def linked(messages: DataFrame, least_words: int = 3) -> DataFrame:
+def linked(messages: DataFrame) -> DataFrame:
     """A row for each message (conv_id, turn, role, text): conv_id, turn, role, own (its text without quotes), n_quotes,
     n_linked, reply_to, thread (the turn that its thread begins with), depth."""
     rows = messages.select("conv_id", "turn", "role", "text").withColumn("lines", lines(F.coalesce("text", F.lit(""))))
@@ -52,14 +52,14 @@ def linked(messages: DataFrame, least_words: int = 3) -> DataFrame:
     own = F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["body"]), "\n")
     quoted = F.filter("passages", lambda p: p["level"] > 0)
     base = rows.select("conv_id", "turn", "role", F.trim(own).alias("own"), F.size(quoted).cast("long").alias("n_quotes"), "lines", "passages")
-    long_enough = F.size(F.split(F.col("text"), " ")) >= least_words
 
     def bits(level: Column) -> DataFrame:
         keep = lambda p: level(p["level"])
         both = F.concat(F.filter("passages", keep), F.filter("lines", keep))
         got = base.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode(both).alias("x"))
-        got = got.select("conv_id", "turn", F.col("x.level").alias("level"), normal(F.col("x.body")).alias("text"))
-        return got.where(long_enough).select("conv_id", "turn", "level", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+        got = got.select("conv_id", "turn", F.col("x.level").alias("level"), F.trim("x.body").alias("body"), normal(F.col("x.body")).alias("text"))
+        got = got.withColumn("text", F.when(F.col("text") == "", F.col("body")).otherwise(F.col("text")))  # signs only
+        return got.where("text <> ''").select("conv_id", "turn", "level", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
 
     origin = durable(bits(lambda v: v == 0).groupBy("conv_id", "h1", "h2").agg(F.min("turn").alias("origin")))
     quotes = bits(lambda v: v > 0)

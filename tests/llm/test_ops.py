@@ -73,6 +73,17 @@ def test_packing_round_trip(spark, rows):
     assert cost(cuts(place, penalty, 8)) == min(cost(c) for c in chains if c[-1] == 5)
 
 
+def test_packing_sentence_ends():
+    P = pytest.importorskip("public_tokenizers")
+    from veilspark.llm.packing import Encoder
+
+    e = Encoder(P.path("word_bpe_49k.json"))
+    for parts in (["It’s a long day.", "We go home!", "Then “who” comes?"], ["今天天气很好。", "我们去公园！", "你来吗？"], ["He said “go.”", "Это дом.", "Конец."]):
+        ids, ends = e.encode(" ".join(parts))
+        assert ends.tolist() == np.cumsum([len(e.encode(x)[0]) for x in parts]).tolist() and ends[-1] == len(ids)
+    assert e.encode("it costs 3.5 — no more")[1].tolist() == [] and e.encode("—")[1].tolist() == []
+
+
 def test_repeats_brute_force(spark, rows):
     from veilspark.llm.maximal_repeats import Repeats, without_repeats
 

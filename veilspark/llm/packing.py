@@ -40,6 +40,8 @@ _PLAIN = re.compile("[\t\n\r -~¡-ɏ]*")
 _LETTER = "a-zªµºß-öø-ɏ"
 _DIGIT = "0-9²³¹¼-¾"
 _PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_DIGIT}]|[^\t\n\r {_LETTER}{_DIGIT}]+")
+#: Where a sentence ends in texts that go through the tokenizer as a whole.
+_END = re.compile(r"[.!?…؟।]+[”’»\"')\]]*(?=\s|$)|[。！？｡]+[”’」』）】]*")
 #: The letters by which byte-level tokenizers write bytes: printable ones stand for themselves, others follow U+0100.
 _KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _OTHER = [b for b in range(256) if b not in _KEPT]
@@ -112,7 +114,12 @@ class Encoder:
                 for i in range(len(starts) - 1):
                     yield from self.encode_all(data[starts[i] : starts[i + 1]], np.array([0, starts[i + 1] - starts[i]]))
             else:
-                yield np.array(self.tokenizer.encode(whole, add_special_tokens=False).ids, np.uint32), np.zeros(0, np.int64)
+                got = self.tokenizer.encode(whole, add_special_tokens=False)
+                upto = np.array([e for _, e in got.offsets], np.int64)
+                marks = np.array([m.end() for m in _END.finditer(whole)], np.int64)
+                at = np.searchsorted(upto, marks, side="right")
+                # a mark inside a token is no place for a cut
+                yield np.array(got.ids, np.uint32), at[(at > 0) & (upto[at - 1] == marks)] if len(upto) else at
             return
         begin, end, first = words_of(data, starts)
         unique, one, back = np.unique(word_hashes(data, begin, end), return_index=True, return_inverse=True)

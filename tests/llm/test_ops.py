@@ -246,7 +246,7 @@ def test_toxicity_network():
 def test_backoff_brute_force(spark, rows):
     from veilspark.llm.backoff_lm import Backoff, backoff_scores
 
-    how = Backoff(order=3, batch=3, bucket_bytes=500)
+    how = Backoff(order=3, batch_bytes=2000, slices=2, groups=2)
     texts = [(t or "").split() for _, t in rows]
     grams = lambda w: collections.Counter(tuple(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1))
     total = sum(map(grams, texts), collections.Counter())

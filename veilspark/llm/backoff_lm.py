@@ -1,23 +1,29 @@
 """Stupid-backoff scores of all documents under n-gram counts of all other documents.
 
-Documents are dealt into batches of a few hundred. A batch lists its distinct n-grams, each once with its count, dealt
-by the n-gram's hash over buckets: a frequent n-gram is one entry a batch, however often it occurs. A bucket's task sums
-its count table and answers every batch with the totals of what it asked for. The answers are joined back to the batch's
-documents, whose n-grams are exploded again, looked up and summed:
-
     S(w | h) = c(h w) / c(h)            if other documents hold h w
              = alpha * S(w | h without its first word)   otherwise, down to (c(w) or 1) / N
 
-Counts are those of the whole corpus less the document's own. Texts are whole; nothing is pruned.
+Counts are those of the whole corpus less the document's own; texts are whole and nothing is pruned.
+
+Documents are dealt into batches of about `batch_bytes` of text. A batch is exploded to its distinct n-grams of all orders,
+a row (batch, place among them, hash, count) each, so a frequent n-gram is one row a batch however often it occurs. The rows
+are dealt by hash; grouped, they are the count table; those n-grams that several batches hold are joined back to the rows.
+The answers (batch, place, total) meet the batch's texts, whose n-grams are looked up and summed per document. An n-gram
+without an answer is held by its own batch alone, which has counted it.
+
+Exploded n-grams are many times their text, so the hash space is worked off in `slices` jobs, and the scoring in `groups`
+jobs over batches. Each writes a table below the checkpoint folder and drops its shuffle files at its end. The numbers don't
+depend on the input's size.
 
 Defined cases: a null or empty text has no words, and score and mean null; repeated rows are documents of their own; a
-null doc_id is kept.
+null doc_id is kept; other columns are ignored. A single text longer than a batch is a batch with that text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,18 +31,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import texts_of, window_hashes, word_hashes, words_of
+from veilspark.llm.common import dropped, scratch, texts_of, window_hashes, word_hashes, words_of, written
 
 
 @dataclass(frozen=True)
 class Backoff:
     order: int = 3
     alpha: float = 0.4
-    batch: int = 400  # documents
-    bucket_bytes: int = 4 << 20  # of text for each bucket
+    batch_bytes: int = 8 << 20
+    slices: int = 6
+    groups: int = 3
 
 
-def _grams(data: np.ndarray, starts: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+def grams_of(data: np.ndarray, starts: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """The places where texts' words begin, and for each order the n-gram hashes at every word and whether they lie in one text."""
     begin, end, first = words_of(data, starts)
     words = word_hashes(data, begin, end)
@@ -51,73 +58,44 @@ def _grams(data: np.ndarray, starts: np.ndarray, order: int) -> tuple[np.ndarray
     return first, hashes, inside
 
 
-def _asked(hashes: list[np.ndarray], inside: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-    return [np.unique(h[i], return_counts=True) for h, i in zip(hashes, inside, strict=True)]
+def _slice_of(hashes: np.ndarray, slices: int) -> np.ndarray:
+    """The slices are ranges of hashes, so they follow each other in sorted order."""
+    return ((hashes >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)
 
 
-def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+def _exploded(how: Backoff, at: int):
+    def rows(b: int, texts: list[str | None]) -> pa.RecordBatch:
+        _, hashes, inside = grams_of(*texts_of(pa.array(texts, pa.large_string())), how.order)
+        every = np.concatenate([h[i] for h, i in zip(hashes, inside, strict=True)])
+        keys, counts = np.unique(every[_slice_of(every, how.slices) == at], return_counts=True)
+        place = np.arange(len(keys), dtype=np.int64) + (b << 32)
+        return pa.RecordBatch.from_arrays([pa.array(place), pa.array(keys.view(np.int64)), pa.array(counts)], names=["place", "gram", "n"])
 
-
-def _ask(order: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(b: int, texts: list[str | None]) -> pa.RecordBatch:
-            data, starts = texts_of(pa.array(texts, pa.large_string()))
-            _, hashes, inside = _grams(data, starts, order)
-            out = []
-            for n, (keys, counts) in enumerate(_asked(hashes, inside)):
-                edge = np.searchsorted(_bucket(keys, buckets), np.arange(buckets + 1))
-                out += [(n * buckets + q, b, keys[i:j].tobytes(), counts[i:j].astype(np.uint32).tobytes()) for q, (i, j) in enumerate(zip(edge[:-1], edge[1:])) if j > i]
-            q, bs, keys, counts = zip(*out) if out else ([],) * 4
-            return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(bs, pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["q", "b", "keys", "counts"])
-
         now, texts = None, []
         for batch in batches:
-            for b, text in zip(batch.column("b").to_pylist(), batch.column("text").to_pylist()):
+            for b, text in zip(batch.column("b").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if b != now:
                     if texts:
-                        yield made(now, texts)
+                        yield rows(now, texts)
                     now, texts = b, []
                 texts.append(text)
         if texts:
-            yield made(now, texts)
+            yield rows(now, texts)
 
     return run
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket; holds one bucket."""
-
-    def made(q: int, rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-        keys = [np.frombuffer(k, np.uint64) for _, k, _ in rows]
-        _, back = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(back, np.concatenate([np.frombuffer(c, np.uint32) for _, _, c in rows]))
-        cut = np.cumsum([len(k) for k in keys])[:-1]
-        blobs = [x.astype(np.uint32).tobytes() for x in np.split(total[back], cut)]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([q] * len(rows), pa.int64()), pa.array(blobs, pa.binary())], names=["b", "q", "totals"])
-
-    now, rows = None, []
-    for batch in batches:
-        for q, b, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("q", "b", "keys", "counts"))):
-            if q != now:
-                if rows:
-                    yield made(now, rows)
-                now, rows = q, []
-            rows.append((b, keys, counts))
-    if rows:
-        yield made(now, rows)
-
-
-def scores(first: np.ndarray, hashes: list[np.ndarray], inside: list[np.ndarray], totals: list[tuple[np.ndarray, np.ndarray]], n_words: int, how: Backoff) -> np.ndarray:
-    """The summed log score of each text; totals: sorted n-grams of each order and their counts in the corpus."""
+def scores(first: np.ndarray, hashes: list[np.ndarray], inside: list[np.ndarray], keys: np.ndarray, totals: np.ndarray, n_words: int, how: Backoff) -> np.ndarray:
+    """The summed log score of each text; keys: sorted n-grams, totals: their counts in the corpus."""
     texts = len(first) - 1
     row = np.repeat(np.arange(texts), np.diff(first))
     others = []
-    for h, ok, (keys, total) in zip(hashes, inside, totals, strict=True):
+    for h, ok in zip(hashes, inside, strict=True):
         got = np.zeros(len(h))
         at = np.searchsorted(keys, h[ok])
-        pair, back, own = np.unique(at * np.int64(texts) + row[ok], return_inverse=True, return_counts=True)
-        got[ok] = total[at] - own[back]
+        _, back, own = np.unique(at * np.int64(texts) + row[ok], return_inverse=True, return_counts=True)
+        got[ok] = totals[at] - own[back]
         others.append(got)
     size = np.diff(first)[row] if texts else np.zeros(0)
     value = np.log(np.maximum(others[0], 1) / np.maximum(n_words - size, 1))
@@ -132,30 +110,41 @@ def scores(first: np.ndarray, hashes: list[np.ndarray], inside: list[np.ndarray]
     return np.bincount(row, value, texts) if len(row) else np.zeros(texts)
 
 
+def _scored(how: Backoff, n_words: int):
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        first, hashes, inside = grams_of(*texts_of(pa.array(left["text"], pa.large_string())), how.order)
+        keys, totals = np.unique(np.concatenate([h[i] for h, i in zip(hashes, inside, strict=True)]), return_counts=True)
+        begin = np.searchsorted(_slice_of(keys, how.slices), np.arange(how.slices))
+        totals[begin[right["s"]] + right["i"]] = right["total"]
+        n = np.diff(first)
+        s = np.where(n > 0, scores(first, hashes, inside, keys, totals, n_words, how), np.nan)
+        return pd.DataFrame({"doc_id": left["doc_id"].astype("Int64"), "n_words": n, "score": s, "mean": s / np.maximum(n, 1)})
+
+    return run
+
+
 def backoff_scores(docs: DataFrame, how: Backoff | None = None) -> DataFrame:
     """A row for each row of `docs` (doc_id, text): doc_id, n_words, score (the sum of the words' log scores), mean."""
     how = how or Backoff()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     words = F.size(F.filter(F.split("text", r"[ \t-\r]+"), lambda x: x != ""))
-    n_docs, n_words, n_bytes = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("text").isNotNull(), words)), F.lit(0)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    batches = max(1, -(-n_docs // how.batch))
-    buckets = max(16, -(-n_bytes // how.bucket_bytes))
-    dealt = rows.withColumn("b", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.xxhash64("text")), F.lit(batches))).repartition("b").sortWithinPartitions("b", "doc_id", "text")
-    # all columns go in, so that both uses of `dealt` are one exchange
-    asked = dealt.mapInArrow(_ask(how.order, buckets), "q long, b long, keys binary, counts binary")
-    answers = asked.repartition("q").sortWithinPartitions("q").mapInArrow(_answer, "b long, q long, totals binary")
-
-    def scored(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        data, starts = texts_of(pa.array(left["text"], pa.large_string()))
-        first, hashes, inside = _grams(data, starts, how.order)
-        right = right.sort_values("q")
-        totals, upto = [], 0
-        got = np.frombuffer(b"".join(right["totals"]), np.uint32)
-        for keys, _ in _asked(hashes, inside):
-            totals.append((keys, got[upto : upto + len(keys)]))
-            upto += len(keys)
-        n = np.diff(first)
-        s = np.where(n > 0, scores(first, hashes, inside, totals, n_words, how), np.nan)
-        return pd.DataFrame({"doc_id": left["doc_id"].astype("Int64"), "n_words": n, "score": s, "mean": s / np.maximum(n, 1)})
-
-    return dealt.groupBy("b").cogroup(answers.groupBy("b")).applyInPandas(scored, "doc_id long, n_words long, score double, mean double")
+    n_words, n_bytes = rows.agg(F.coalesce(F.sum(F.when(F.col("text").isNotNull(), words)), F.lit(0)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    batches = max(1, -(-n_bytes // how.batch_bytes))
+    dealt = rows.withColumn("b", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.xxhash64("text")), F.lit(batches)))
+    order = ("b", "doc_id", "text")
+    folder, answers = scratch(docs.sparkSession), []
+    for s in range(how.slices):
+        texts = dealt.repartition("b").sortWithinPartitions(*order)
+        asked = texts.mapInArrow(_exploded(how, s), "place long, gram long, n long").repartition("gram")
+        counts = asked.groupBy("gram").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("held")).where("held > 1").drop("held")
+        found = asked.join(counts, "gram").select(F.shiftright("place", 32).cast("int").alias("b"), F.col("place").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("i"), "total")
+        answers.append(written(found, f"{folder}/answers-{s}").withColumn("s", F.lit(s)))
+    every, parts = reduce(DataFrame.unionByName, answers), []
+    for g in range(how.groups):
+        own = F.pmod("b", F.lit(how.groups)) == g
+        texts = dealt.where(own).withColumn("b", F.col("b").cast("int")).groupBy("b")
+        made = texts.cogroup(every.where(own).groupBy("b")).applyInPandas(_scored(how, n_words), "doc_id long, n_words long, score double, mean double")
+        parts.append(written(made, f"{folder}/scores-{g}"))
+    for s in range(how.slices):
+        dropped(docs.sparkSession, f"{folder}/answers-{s}")
+    return reduce(DataFrame.unionByName, parts)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,19 +18,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """`df` cut from its lineage by a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that all executors share: the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir, which all executors share. Only where that is
-    unset, as in local tests, a folder below the warehouse is chosen.
+    Only a session in local mode may leave it unset; a folder below its warehouse is taken then.
     """
+    own = spark.conf.get("spark.checkpoint.dir", None)
+    if own is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (own or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints").rstrip("/")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the shared one."""
+    return f"{shared_folder(spark)}/veilspark-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """`df` cut from its lineage by a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        own = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(own or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
+#: Spark's switch by which a query's shuffle files go when it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """`df` written as a Parquet table and read again. The shuffle files that made it are dropped at once."""
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes an intermediate table that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def row_key(doc_id: Column, text: Column) -> list[Column]:
     """Two longs by which a document's row is found again: its id (a null id has a fixed stand-in) and a hash of its text.
 

@@ -73,6 +73,19 @@ def test_packing_round_trip(spark, rows):
     assert cost(cuts(place, penalty, 8)) == min(cost(c) for c in chains if c[-1] == 5)
 
 
+def test_packing_every_letter():
+    P = pytest.importorskip("public_tokenizers")
+    from veilspark.llm.packing import Encoder
+
+    e = Encoder(P.path("word_bpe_49k.json"))
+    wrong = []
+    for c in map(chr, [*range(1, 0x250), 0x301, 0x1E9E, 0x2019, 0x2126, 0x3042, 0xFB01]):
+        for text in (c, f"a{c}b", f"the {c}word", f"one{c} 2{c}3", f"{c}{c.lower()}.{c}'s", f"x {c}\u0301y", f"A{c}B!{c}?"):
+            if e.encode(text)[0].tolist() != e.tokenizer.encode(text, add_special_tokens=False).ids:
+                wrong.append(text)
+    assert not wrong
+
+
 def test_packing_sentence_ends():
     P = pytest.importorskip("public_tokenizers")
     from veilspark.llm.packing import Encoder

@@ -35,8 +35,10 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.common import runs, texts_of, word_hashes, words_of
 
-#: Texts of these characters only are split here; others go through the tokenizer as a whole.
-_PLAIN = re.compile("[\t\n\r -~¡-ɏ]*")
+#: Texts of these characters only are split here; others go through the tokenizer as a whole. Letters whose lower case is
+#: more than one character or lies beyond U+024F are among the others.
+_SIMPLE = "".join(re.escape(c) for c in map(chr, range(0xA1, 0x250)) if len(c.lower()) == 1 and c.lower() <= "\u024f")
+_PLAIN = re.compile(f"[\t\n\r -~{_SIMPLE}]*")
 _LETTER = "a-zªµºß-öø-ɏ"
 _DIGIT = "0-9²³¹¼-¾"
 _PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_DIGIT}]|[^\t\n\r {_LETTER}{_DIGIT}]+")

@@ -143,6 +143,74 @@ def test_similarity_brute_force(spark, rows):
     assert similar(frame(spark, [])).count() == 0
 
 
+def test_chunk_dedup_brute_force(spark, rows):
+    from veilspark.llm.chunk_dedup import Chunking, chunks, deduplicated
+
+    how = Chunking(bits=4, shortest=8, longest=64, least=30)
+    rows = [(i, t) for i, t in rows if i is not None]
+    cut = []
+    for i, t in rows:
+        b = (t or "").encode()
+        ends = chunks(np.frombuffer(b, np.uint8), how)
+        cut.append((i, b, list(zip([0, *ends[:-1]], ends))))
+    holder = {}
+    for i, b, spans in sorted(cut, key=lambda x: x[0]):
+        for x, y in spans:
+            holder.setdefault(b[x:y], i)
+    want = []
+    for (i, b, spans), (_, t) in zip(cut, rows):
+        seen, bad = set(), []
+        for x, y in spans:
+            bad.append(holder[b[x:y]] != i or b[x:y] in seen)
+            seen.add(b[x:y])
+        kept, k = b"", 0
+        while k < len(spans):
+            m = k
+            while m < len(spans) and bad[m]:
+                m += 1
+            if m == k:
+                kept, k = kept + b[slice(*spans[k])], k + 1
+                continue
+            x, y = spans[k][0], spans[m - 1][1]
+            if y - x < how.least:
+                kept += b[x:y]
+            else:
+                p, q = x, y
+                while p < q and b[p] & 0xC0 == 0x80:
+                    p += 1
+                while q < len(b) and p < q and b[q] & 0xC0 == 0x80:
+                    q -= 1
+                kept += b[x:p] + b[q:y]
+            k = m
+        want.append((i, sum(bad), None if t is None else kept.decode()))
+    df = spark.createDataFrame([(i, t, 1, 2, 3, 4, 5) for i, t in rows], "doc_id long, text string, repeats int, _d int, _k int, _d0 int, k0 int")
+    got = deduplicated(df, how)
+    assert sorted(((r.doc_id, r.n_repeats, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert {(r.repeats, r._d, r._k, r._d0, r.k0) for r in got.select("repeats", "`_d`", "`_k`", "`_d0`", "k0").collect()} == {(1, 2, 3, 4, 5)}
+
+
+def test_near_duplicates_by_row(spark):
+    from veilspark.llm.ngram_join import deduplicated
+
+    a, b, c = prose(61, 90), prose(62, 90), prose(63, 90)
+    docs = [(1, a), (None, a), (None, a), (2, b), (2, a + " tail"), (None, c), (None, b), (7, ""), (8, None), (None, None), (9, c), (9, c)]
+    got = deduplicated(spark.createDataFrame([(i, t, 1, 1) for i, t in docs], "doc_id long, text string, d int, k int")).collect()
+    assert sorted([(r.doc_id, r.text) for r in got], key=str) == sorted([(1, a), (2, b), (9, c), (7, ""), (8, None), (None, None)], key=str)
+
+
+def test_labelled_sample(spark):
+    from pyspark.sql import functions as F
+
+    from veilspark.llm import compression_classifier as c
+
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, None), (3, "x"), (None, "n"), (4, "y"), (5, "z")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0), (4, None), (None, 1), (5, 1)], "doc_id long, quality int")
+    assert sorted(c.sample(docs, labels, "quality", F.col("doc_id") != 5, 10, 1)) == [("a", 1), ("x", 0)]
+    for rows, known in ((docs, labels), (docs.limit(0), labels), (docs, labels.limit(0))):
+        got = c.score(rows, c.fit(rows, known, F.lit(True)))
+        assert got.count() == rows.count() and all(r.score == pytest.approx(r.score) and 0 <= r.score <= 1 for r in got.collect())
+
+
 def test_chunk_dedup(spark, rows):
     from veilspark.llm.chunk_dedup import Chunking, chunks, deduplicated
 
@@ -310,6 +378,16 @@ def test_quotes_of_any_length(spark):
     assert [got[t].reply_to for t in range(8)] == [None, 0, None, 2, None, 4, None, 6]
 
 
+def test_quotes_reply_order(spark):
+    from veilspark.llm.quotes import conversations, with_passages
+
+    m = [(0, "alpha start"), (1, "beta start"), (2, "> alpha start\nreply one"), (3, "> beta start\nreply two"), (4, "> > alpha start\n> reply one\ndeep"), (5, "> alpha start\nreply three")]
+    df = spark.createDataFrame([(1, a, "r", t) for a, t in m], "conv_id long, turn long, role string, text string")
+    assert [(r.turn, r.own) for r in conversations(df).collect()] == [(0, "alpha start"), (2, "reply one"), (4, "deep"), (5, "reply three"), (1, "beta start"), (3, "reply two")]
+    rows = spark.createDataFrame([([(0, "a"), (0, "b"), (0, " "), (1, "c"), (1, ""), (1, "d"), (0, "e")],), ([(0, "")],)], "lines array<struct<level:int,body:string>>")
+    assert [[(p.level, p.body) for p in r.passages] for r in with_passages(rows).collect()] == [[(0, "a\nb"), (1, "c"), (1, "d"), (0, "e")], []]
+
+
 def test_pipeline(spark, tmp_path):
     pytest.importorskip("public_tokenizers")
     import corpus_pipeline as c

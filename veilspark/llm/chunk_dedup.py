@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import durable, mixed, texts_of
+from veilspark.llm.common import durable, fresh, mixed, texts_of
 
 
 @dataclass(frozen=True)
@@ -111,14 +111,14 @@ def _rows(how: Chunking):
     return run
 
 
-def _removed(how: Chunking):
+def _removed(how: Chunking, own: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, starts = texts_of(batch.column("text"))
             given = batch.column("text").is_valid().to_pylist()
-            keep = [c for c in batch.schema.names if c not in ("text", "repeats")]
+            keep = [c for c in batch.schema.names if c not in ("text", own)]
             out = []
-            for r, repeats in enumerate(batch.column("repeats").to_pylist()):
+            for r, repeats in enumerate(batch.column(own).to_pylist()):
                 raw = data[starts[r] : starts[r + 1]].tobytes()
                 ends = chunks(data[starts[r] : starts[r + 1]], how)
                 elsewhere, seen, spans, n_repeats, run_from = set(repeats or ()), set(), [], 0, None
@@ -164,9 +164,9 @@ def deduplicated(docs: DataFrame, how: Chunking | None = None) -> DataFrame:
     keys = [order_key(F.col("doc_id"), F.col("text")).alias("d"), F.xxhash64(F.col("text")).alias("k")]
     rows = docs.where(F.col("text") != "").select(*keys, "text").mapInArrow(_rows(how), "d long, k long, p long, h1 long, h2 long")
     shared = durable(rows.groupBy("h1", "h2").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first <> last").drop("last"))
-    repeats = rows.join(shared, ["h1", "h2"]).where("d <> first").groupBy("d", "k").agg(F.collect_set("p").alias("repeats"))
-    repeats = repeats.select(F.col("d").alias("_d"), F.col("k").alias("_k"), "repeats")
+    d, k, d0, k0, own = (fresh(docs, c) for c in ("d", "k", "d0", "k0", "repeats"))
+    repeats = rows.join(shared, ["h1", "h2"]).where("d <> first").groupBy(F.col("d").alias(d), F.col("k").alias(k)).agg(F.collect_set("p").alias(own))
     names = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
-    joined = docs.withColumn("_d0", keys[0]).withColumn("_k0", keys[1]).join(repeats, (F.col("_d0") == F.col("_d")) & (F.col("_k0") == F.col("_k")), "left")
+    joined = docs.withColumns({d0: keys[0], k0: keys[1]}).join(repeats, (F.col(d0) == F.col(d)) & (F.col(k0) == F.col(k)), "left")
     made = ", ".join([*names, "text string, n_bytes long, n_chunks long, n_repeats long, n_removed long, n_spans long, kept_sha256 string"])
-    return joined.select(*(f"`{f.name}`" for f in docs.schema), "repeats").mapInArrow(_removed(how), made)
+    return joined.select(*(f"`{f.name}`" for f in docs.schema), own).mapInArrow(_removed(how, own), made)

@@ -64,6 +64,14 @@ def dropped(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that `df` doesn't have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def row_key(doc_id: Column, text: Column) -> list[Column]:
     """Two longs by which a document's row is found again: its id (a null id has a fixed stand-in) and a hash of its text.
 

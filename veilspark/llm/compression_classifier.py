@@ -103,12 +103,15 @@ def _expanded(x: np.ndarray) -> np.ndarray:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int, seed: int) -> list[tuple[str, int]]:
-    """At most `most` texts of each class among the labelled rows that may be learned from, those with the smallest hash of the id."""
+    """At most `most` texts of each class among the labelled rows that may be learned from, those with the smallest hash of the id.
+
+    Of rows that share an id the least text is taken; an id with several labels counts once."""
     known = labels.where(F.col(label).isin(0, 1)).select(F.col("doc_id"), F.col(label).cast("int").alias("label")).where(learn)
     order = F.xxhash64(F.lit(seed), F.col("doc_id"))
     drawn = known.where(F.col("label") == 1).orderBy(order, "doc_id").limit(most).unionByName(known.where(F.col("label") == 0).orderBy(order, "doc_id").limit(most))
-    drawn = F.broadcast(drawn.dropDuplicates(["doc_id"]))  # 2 x most rows of 12 bytes
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(drawn, "doc_id").select("text", "label", order.alias("o")).limit(4 * most).collect()
+    drawn = F.broadcast(drawn.groupBy("doc_id").agg(F.min("label").alias("label")))  # 2 x most rows of 12 bytes
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(drawn, "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("text", "label", order.alias("o")).collect()  # 2 x most at most
     return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: (r["o"], r["text"]))]
 
 

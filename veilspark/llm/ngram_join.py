@@ -14,7 +14,7 @@ A link at the threshold shares no band with probability (1 - 0.8^6)^40 = 5e-6, a
 
 Defined cases: a text of one to four words is one shingle; a null or empty text has none, is a class of its own with no
 links, also where several documents are empty; repeated rows are copies of each other; a null doc_id is kept, and stands
-behind all others when a class is named after its least id.
+behind all others when a class is named after its least id; rows that share an id are told apart by their text.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import durable, mixed, runs, texts_of, window_hashes, word_hashes, words_of
+from veilspark.llm.common import durable, fresh, mixed, row_key, runs, texts_of, window_hashes, word_hashes, words_of
 from veilspark.llm.components import components
 
 #: Stands for a null doc_id while rows are told apart.
@@ -105,14 +105,14 @@ def _named(how: Join):
                 for r in range(how.rows):
                     key = mixed(key * np.uint64(0xD6E8FEB86659FD93) + x[:, :, r])
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * how.bands, how.bands), pa.int32()), pa.array(key.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), bands], names=["doc_id", "s", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("k").slice(i, j - i), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), bands], names=["doc_id", "k", "s", "n", "bands"])
 
     return run
 
 
 def sets_of(docs: DataFrame, how: Join) -> DataFrame:
-    """A row for each document: doc_id, the name s of its shingle set (null: none), its size n, its band keys."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_named(how), "doc_id long, s long, n long, bands array<long>")
+    """A row for each document: doc_id, a hash k of its text, the name s of its shingle set (null: none), its size n, its band keys."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), F.col("text"))[1], "text").mapInArrow(_named(how), "doc_id long, k long, s long, n long, bands array<long>")
 
 
 def candidate_groups(sets: DataFrame) -> DataFrame:
@@ -247,21 +247,21 @@ def _with_shingles(how: Join):
     return run
 
 
-def similar(docs: DataFrame, how: Join | None = None) -> DataFrame:
-    """A row for each row of `docs` (doc_id, text): doc_id, class_id (the least doc_id of its near-duplicate class),
-    n_links (other documents at or over the threshold, copies among them), n_set_links (other shingle sets), n_copies
-    (documents with its own set)."""
+def classes(docs: DataFrame, how: Join | None = None) -> DataFrame:
+    """What `similar` gives, with the key of each row (d, k: its id, NO_ID for a null one, and a hash of its text) and whether
+    it is its class's kept row: the one with the least key."""
     how = how or Join()
-    named = durable(sets_of(docs, how))
-    sets = durable(named.where("s is not null").groupBy("s").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("rep"), F.count(F.lit(1)).alias("m"), F.first("bands").alias("bands")))
+    named = durable(sets_of(docs, how).withColumn("d", F.coalesce("doc_id", F.lit(NO_ID))))
+    sets = named.where("s is not null").groupBy("s").agg(F.min(F.struct("d", "k")).alias("rep"), F.count(F.lit(1)).alias("m"), F.first("bands").alias("bands"))
+    sets = durable(sets)
     groups = candidate_groups(sets)
     sizes = durable(groups.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / how.block).cast("int").alias("blocks")))
     todo = groups.join(sizes, "label").join(sets.select(F.col("s").alias("node"), "rep", "m"), "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    todo = durable(todo.select(F.col("node").alias("s"), "rep", "m", F.col("label").alias("c"), "blocks", own.alias("own")))
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rep"), "text")
+    todo = durable(todo.select(F.col("node").alias("s"), F.col("rep.d").alias("d"), F.col("rep.k").alias("k"), "m", F.col("label").alias("c"), "blocks", own.alias("own")))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), row_key(F.col("doc_id"), F.col("text"))[1], "text")
     kinds = "s long, m long, c long, blocks int, own int"
-    held = texts.join(todo, "rep").select("s", "m", "c", "blocks", "own", "text").mapInArrow(_with_shingles(how), f"{kinds}, shingles binary")
+    held = texts.join(todo, ["d", "k"]).select("s", "m", "c", "blocks", "own", "text").mapInArrow(_with_shingles(how), f"{kinds}, shingles binary")
     dealt = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "s", "m", "shingles")
     found = dealt.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j").mapInArrow(_linked(how), "s long, sets long, docs long, to long")
@@ -270,9 +270,31 @@ def similar(docs: DataFrame, how: Join | None = None) -> DataFrame:
     counts = found.groupBy("s").agg(F.sum("sets").alias("sets"), F.sum("docs").alias("docs"))
     every = sets.select("s", "rep", "m").join(labels.withColumnRenamed("node", "s"), "s", "left").join(counts, "s", "left").select("s", "rep", "m", F.coalesce("label", "s").alias("label"), F.coalesce("sets", F.lit(0)).alias("sets"), F.coalesce("docs", F.lit(0)).alias("docs"))
     every = durable(every)
-    first = durable(every.groupBy("label").agg(F.min("rep").alias("class_id")))
-    known = durable(every.join(first, "label").select("s", "m", "sets", "docs", "class_id"))
-    full = named.where("s is not null").select("doc_id", "s").join(known, "s")
-    full = full.select("doc_id", F.nullif(F.col("class_id"), F.lit(NO_ID)).alias("class_id"), (F.col("docs") + F.col("m") - 1).alias("n_links"), F.col("sets").alias("n_set_links"), F.col("m").alias("n_copies"))
-    empty = named.where("s is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_set_links"), F.lit(1).cast("long").alias("n_copies"))
+    first = durable(every.groupBy("label").agg(F.min("rep").alias("first")))
+    known = durable(every.join(first, "label").select("s", "m", "sets", "docs", "first"))
+    full = named.where("s is not null").select("doc_id", "d", "k", "s").join(known, "s")
+    full = full.select("doc_id", "d", "k", F.nullif(F.col("first.d"), F.lit(NO_ID)).alias("class_id"), (F.col("docs") + F.col("m") - 1).alias("n_links"), F.col("sets").alias("n_set_links"), F.col("m").alias("n_copies"), (F.col("first") == F.struct("d", "k")).alias("kept"))
+    one = F.lit(1).cast("long")
+    empty = named.where("s is null").select("doc_id", "d", "k", F.col("doc_id").alias("class_id"), (one * 0).alias("n_links"), (one * 0).alias("n_set_links"), one.alias("n_copies"), F.lit(True).alias("kept"))
     return full.unionByName(empty)
+
+
+def similar(docs: DataFrame, how: Join | None = None) -> DataFrame:
+    """A row for each row of `docs` (doc_id, text): doc_id, class_id (the least doc_id of its near-duplicate class),
+    n_links (other documents at or over the threshold, copies among them), n_set_links (other shingle sets), n_copies
+    (documents with its own set)."""
+    return classes(docs, how).select("doc_id", "class_id", "n_links", "n_set_links", "n_copies")
+
+
+def deduplicated(docs: DataFrame, how: Join | None = None) -> DataFrame:
+    """One row of `docs` for each class, that with the least id (null ids last) and then the least hash of its text.
+
+    Rows go by id and text, so rows that share an id, or have none, are told apart. Of rows equal in both one stays."""
+    gone = classes(docs, how).where("NOT kept").select("d", "k").distinct()
+    d, k = fresh(docs, "d"), fresh(docs, "k")
+    own = dict(zip((d, k), (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), row_key(F.col("doc_id"), F.col("text"))[1])))
+    keyed = docs.withColumns(own)
+    left = keyed.join(gone.withColumnsRenamed({"d": d, "k": k}), [d, k], "left_anti")
+    if not keyed.groupBy(d, k).count().where("count > 1").limit(1).isEmpty():
+        left = left.dropDuplicates([d, k])
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))

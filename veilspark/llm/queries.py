@@ -29,6 +29,16 @@ def op2_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(table(spark, sf_dir, "conversations"))
 
 
+def quoted_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message of `conversations` with the one before it quoted on top; the links must lead back to that one."""
+    from veilspark.llm.quotes import linked
+
+    rows = table(spark, sf_dir, "conversations")
+    before = rows.select("conv_id", (F.col("turn") + 1).alias("turn"), F.concat(F.lit("> "), F.regexp_replace("text", "\n", "\n> "), F.lit("\n")).alias("quote"))
+    made = rows.join(before, ["conv_id", "turn"], "left").select("conv_id", "turn", "role", F.concat(F.coalesce("quote", F.lit("")), "text").alias("text"))
+    return linked(made).select("conv_id", "turn", "own", "reply_to", "thread", "depth")
+
+
 def op3_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilspark.llm.backoff_lm import backoff_scores
 
@@ -87,10 +97,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if (name.startswith("op") or name == "quoted_replies") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
     from veilspark.llm import decontaminate
 
-    return {"op9_decontaminate": decontaminate.ORACLE}
+    return {
+        "op9_decontaminate": decontaminate.ORACLE,
+        "quoted_replies": "SELECT conv_id, turn, trim(text) AS own, lag(turn) OVER w AS reply_to, first(turn) OVER w AS thread, row_number() OVER w - 1 AS depth FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
+    }

@@ -9,7 +9,7 @@ DataFrame functions only. Nothing is gathered by conversation, so one that holds
 
 Defined cases: a null or empty text has no lines and an empty own text; a message without a linked quote begins a thread;
 a quote without an earlier origin stays out of the own text but links nothing; rows with a null conv_id or turn aren't
-linked; repeated rows are linked alike. Reading a conversation in order of thread, depth and turn gives its replies.
+linked; repeated rows are linked alike. A reply path is as long as its message is deep.
 """
 
 from __future__ import annotations
@@ -31,24 +31,27 @@ def normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def passages(rows: Column) -> Column:
-    """Runs of lines of one level: level, body. Blank lines end a run."""
-    kind = "array<struct<level:int,body:string>>"
+def with_passages(rows: DataFrame) -> DataFrame:
+    """`rows` (lines) with `passages`: runs of lines of one level (level, body); blank lines end a run. Linear in the lines."""
+    at = lambda i: F.get("lines", i)
+    blank = lambda x: F.trim(x["body"]) == ""
+    begins = lambda x, i: ~blank(x) & F.coalesce(blank(at(i - 1)) | (at(i - 1)["level"] != x["level"]), F.lit(True))
+    begin = F.filter(F.transform("lines", lambda x, i: F.when(begins(x, i), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("begin", begin)
 
-    def step(a: Column, x: Column) -> Column:
-        last = F.get(a, F.size(a) - 1)
-        joins = (F.size(a) > 0) & (last["level"] == x["level"]) & (F.trim(x["body"]) != "") & (last["body"] != "")
-        more = F.struct(last["level"].alias("level"), F.concat_ws("\n", last["body"], x["body"]).alias("body"))
-        return F.when(joins, F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(more))).otherwise(F.concat(a, F.array(F.struct(x["level"].alias("level"), F.when(F.trim(x["body"]) == "", "").otherwise(x["body"]).alias("body")))))
+    def run(i: Column, r: Column) -> Column:
+        upto = F.coalesce(F.get("begin", r + 1), F.size("lines"))
+        body = F.transform(F.filter(F.slice("lines", i + 1, upto - i), lambda x: ~blank(x)), lambda x: x["body"])
+        return F.struct(at(i)["level"].alias("level"), F.array_join(body, "\n").alias("body"))
 
-    return F.filter(F.aggregate(rows, F.array().cast(kind), step), lambda p: p["body"] != "")
+    return rows.withColumn("passages", F.transform("begin", run)).drop("begin")
 
 
-def linked(messages: DataFrame) -> DataFrame:
+def linked(messages: DataFrame, rounds: int = 40) -> DataFrame:
     """A row for each message (conv_id, turn, role, text): conv_id, turn, role, own (its text without quotes), n_quotes,
-    n_linked, reply_to, thread (the turn that its thread begins with), depth."""
+    n_linked, reply_to, thread (the turn that its thread begins with), depth, reply_path (the turns from there to it)."""
     rows = messages.select("conv_id", "turn", "role", "text").withColumn("lines", lines(F.coalesce("text", F.lit(""))))
-    rows = rows.withColumn("passages", passages(F.col("lines")))
+    rows = with_passages(rows)
     own = F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["body"]), "\n")
     quoted = F.filter("passages", lambda p: p["level"] > 0)
     base = rows.select("conv_id", "turn", "role", F.trim(own).alias("own"), F.size(quoted).cast("long").alias("n_quotes"), "lines", "passages")
@@ -56,7 +59,8 @@ def linked(messages: DataFrame) -> DataFrame:
     def bits(level: Column) -> DataFrame:
         keep = lambda p: level(p["level"])
         both = F.concat(F.filter("passages", keep), F.filter("lines", keep))
-        got = base.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode(both).alias("x"))
+        # the outer form, since for the other one the optimizer adds a filter that computes the array again
+        got = base.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode_outer(both).alias("x"))
         got = got.select("conv_id", "turn", F.col("x.level").alias("level"), F.trim("x.body").alias("body"), normal(F.col("x.body")).alias("text"))
         got = got.withColumn("text", F.when(F.col("text") == "", F.col("body")).otherwise(F.col("text")))  # signs only
         return got.where("text <> ''").select("conv_id", "turn", "level", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
@@ -65,13 +69,22 @@ def linked(messages: DataFrame) -> DataFrame:
     quotes = bits(lambda v: v > 0)
     found = quotes.join(origin, ["conv_id", "h1", "h2"]).where("origin < turn").groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), "origin"))["origin"].alias("reply_to"), F.countDistinct("level", "h1", "h2").alias("n_linked"))
     found = durable(found)
-    up = durable(found.select("conv_id", "turn", F.col("reply_to").alias("thread"), F.lit(1).cast("long").alias("depth")))
-    while True:
-        above = up.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("thread").alias("far"), F.col("depth").alias("more"))
-        new = durable(up.join(above, (F.col("conv_id") == F.col("c")) & (F.col("thread") == F.col("t")), "left").select("conv_id", "turn", F.coalesce("far", "thread").alias("thread"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("far").isNotNull().alias("moved")))
+    up = durable(found.select("conv_id", "turn", F.col("reply_to").alias("thread"), F.array(F.col("turn")).alias("path")))
+    for _ in range(rounds):  # each doubles the length of what a pointer skips
+        above = up.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("thread").alias("far"), F.col("path").alias("before"))
+        new = up.join(above, (F.col("conv_id") == F.col("c")) & (F.col("thread") == F.col("t")), "left")
+        new = durable(new.select("conv_id", "turn", F.coalesce("far", "thread").alias("thread"), F.concat(F.coalesce("before", F.slice("path", 1, 0)), "path").alias("path"), F.col("far").isNotNull().alias("moved")))
         up = new.drop("moved")
         if new.where("moved").isEmpty():
             break
-    links = durable(found.join(up, ["conv_id", "turn"]))
+    else:
+        raise RuntimeError(f"replies were left after {rounds} rounds")
+    links = durable(found.join(up, ["conv_id", "turn"]).select("conv_id", "turn", "reply_to", "n_linked", "thread", F.size("path").cast("long").alias("depth"), F.concat(F.array("thread"), "path").alias("reply_path")).dropDuplicates(["conv_id", "turn"]))
     out = base.drop("lines", "passages").join(links, ["conv_id", "turn"], "left")
-    return out.select("conv_id", "turn", "role", "own", "n_quotes", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "reply_to", F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).alias("depth"))
+    return out.select("conv_id", "turn", "role", "own", "n_quotes", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "reply_to", F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("reply_path", F.array("turn")).alias("reply_path"))
+
+
+def conversations(messages: DataFrame) -> DataFrame:
+    """The messages of `linked`, without their quotes, in reply order: each reply stands below what it answers, before later
+    replies to the same message. The order is one range sort, so a conversation may span many tasks."""
+    return linked(messages).select("conv_id", "turn", "role", "own", "reply_to", "depth", "reply_path").orderBy("conv_id", "reply_path")

@@ -3,16 +3,19 @@
 Every stage but the last returns the columns of `documents`. None of them can be put as SQL over whole texts at a useful
 cost (compression, MinHash verification, content-defined chunks and a tokenizer), so ORACLE_SQL is None and the tests
 hold the stages against brute force.
+
+Defined cases: rows with a null or empty text are scored by the prior, are no copies of each other, hold no passage and no
+item, and become one separator id; rows with a null doc_id are kept by the same rules as others; an empty table gives an
+empty table; columns other than those of `documents` are left out.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.llm import chunk_dedup, compression_classifier, decontaminate, ngram_join, packing
+from veilspark.llm.common import scratch, written
 from veilspark.llm.queries import fold
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -30,14 +33,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class, that with the least id; of repeated rows one stays."""
-    classes = ngram_join.similar(docs)
-    gone = classes.where("class_id <> doc_id").select(F.col("doc_id").alias("_gone"))
-    once = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
-    again = docs.groupBy("doc_id", F.xxhash64("text").alias("_k")).count().where("count > 1").limit(1)
-    if again.isEmpty():
-        return _columns(once)
-    return _columns(once.dropDuplicates(["doc_id", "text"]))
+    """One document of each near-duplicate class, that with the least id (null ids last); of repeated rows one stays.
+
+    Rows go by id and text, so rows without an id, or that share one, are told apart."""
+    return _columns(ngram_join.deduplicated(docs))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,10 +70,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over the documents of `sf_dir`. What stages pass on lies below the session's checkpoint folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-    folder = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        docs = written(stage(spark, docs, sf_dir), f"{folder}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -83,7 +83,7 @@ def us_ssn(v: Column, *_: Column) -> Column:
 
 def aba_routing(v: Column, text: Column, start: Column, end: Column) -> Column:
     d = digits(v)
-    return _sized(d, 9, (weighted(d, (3, 7, 1) * 3) % 10 == 0) & ~d.rlike("^0+$")) & keywords("aba", "routing", "rtn", "transit")(v, text, start, end)
+    return _sized(d, 9, (weighted(d, (3, 7, 1) * 3) % 10 == 0) & ~d.rlike("^0+$")) & keywords("routing", "aba", "transit number", "联行号", "路由号码")(v, text, start, end)
 
 
 def cn_resident_id(v: Column, *_: Column) -> Column:
@@ -92,6 +92,11 @@ def cn_resident_id(v: Column, *_: Column) -> Column:
     return F.when(u.rlike("^[0-9]{17}[0-9X]$"), _date(F.substring(u, 7, 8)) & (expected == F.substring(u, 18, 1))).otherwise(False)
 
 
+def cn_resident_id_15(v: Column, *_: Column) -> Column:
+    d = digits(v)
+    return d.rlike("^[1-9][0-9]{14}$") & _date(F.concat(F.lit("19"), F.substring(d, 7, 6)))
+
+
 def uscc(v: Column, *_: Column) -> Column:
     u = F.upper(v)
     total = F.lit(0)
@@ -140,6 +145,20 @@ def spanish_dni_nie(v: Column, *_: Column) -> Column:
     return F.coalesce((F.length(u) == 9) & (F.get(F.split(F.lit(ES_CHECK), ""), number % 23) == F.substring(u, 9, 1)), F.lit(False))
 
 
+# What a character counts at an odd place of an Italian fiscal code, from 0 to 9 and from A to Z.
+IT_ODD = (1, 0, 5, 7, 9, 13, 15, 17, 19, 21, 1, 0, 5, 7, 9, 13, 15, 17, 19, 21, 2, 4, 18, 20, 11, 3, 6, 8, 12, 14, 16, 10, 22, 25, 24, 23)
+
+
+def italian_fiscal_code(v: Column, *_: Column) -> Column:
+    u = F.upper(F.regexp_replace(v, r"\s", ""))
+    total = F.lit(0)
+    for i in range(15):
+        c = F.ascii(F.substring(u, i + 1, 1))
+        place = F.when(c <= 57, c - 48).otherwise(c - 55)
+        total = total + (F.get(F.array(*map(F.lit, IT_ODD)), place) if i % 2 == 0 else F.when(c <= 57, c - 48).otherwise(c - 65))
+    return F.when(u.rlike("^[A-Z]{6}[0-9]{2}[ABCDEHLMPRST][0-9]{2}[A-Z][0-9]{3}[A-Z]$"), total % 26 == F.ascii(F.substring(u, 16, 1)) - 65).otherwise(False)
+
+
 def dutch_bsn(v: Column, *_: Column) -> Column:
     d = digits(v)
     return _sized(d, 9, (weighted(d, (9, 8, 7, 6, 5, 4, 3, 2, -1)) % 11 == 0) & ~d.rlike("^0+$"))
@@ -150,15 +169,43 @@ def polish_pesel(v: Column, *_: Column) -> Column:
     return _sized(d, 11, (10 - weighted(d, (1, 3, 7, 9, 1, 3, 7, 9, 1, 3)) % 10) % 10 == _digit(d, 10))
 
 
+def _day_month(d: Column) -> Column:
+    """Whether four digits are a day and a month of a leap year."""
+    return _date(F.concat(F.lit("2000"), F.substring(d, 3, 2), F.substring(d, 1, 2)))
+
+
+def swedish_person_number(v: Column, *_: Column) -> Column:
+    d = F.right(digits(v), F.lit(10))
+    return F.length(digits(v)).isin(10, 12) & _date(F.concat(F.lit("20"), F.substring(d, 1, 6))) & F.call_function("luhn_check", d)
+
+
+def _mod_11(d: Column, weights: tuple[int, ...]) -> Column:
+    """The check digit of weighted digits; null where it would be 10."""
+    check = (11 - weighted(d, weights) % 11) % 11
+    return F.when(check < 10, check)
+
+
+def norwegian_birth_number(v: Column, *_: Column) -> Column:
+    d = digits(v)
+    first, second = _mod_11(d, (3, 7, 6, 1, 8, 9, 4, 5, 2)), _mod_11(d, (5, 4, 3, 2, 7, 6, 5, 4, 3, 2))
+    return _sized(d, 11, _day_month(d) & (first == _digit(d, 9)) & (second == _digit(d, 10)))
+
+
+def new_zealand_ird(v: Column, *_: Column) -> Column:
+    d = F.when(F.length(digits(v)) == 8, F.concat(F.lit("0"), digits(v))).otherwise(digits(v))
+    check = F.coalesce(_mod_11(d, (3, 2, 7, 6, 5, 4, 3, 2)), _mod_11(d, (7, 4, 3, 2, 5, 2, 7, 6)))
+    return _sized(d, 9, check == _digit(d, 8))
+
+
 def finnish_code(v: Column, *_: Column) -> Column:
-    u = F.upper(v)
+    u = F.upper(F.regexp_replace(v, r"\s", ""))
     number = F.concat(F.substring(u, 1, 6), F.substring(u, 8, 3)).try_cast("int")
-    return F.coalesce((F.length(u) == 11) & (F.get(F.split(F.lit(FI_CHECK), ""), number % 31) == F.substring(u, 11, 1)), F.lit(False))
+    return F.coalesce(u.rlike("^[0-9]{6}[+\\-ABCDEFYXWVU][0-9]{3}[0-9A-Z]$") & _day_month(u) & (F.get(F.split(F.lit(FI_CHECK), ""), number % 31) == F.substring(u, 11, 1)), F.lit(False))
 
 
 def australian_tfn(v: Column, *_: Column) -> Column:
     d = F.when(F.length(digits(v)) == 8, F.concat(F.lit("0"), digits(v))).otherwise(digits(v))
-    return _sized(d, 9, (weighted(d, (1, 4, 3, 7, 5, 8, 6, 9, 10)) % 11 == 0) & ~d.rlike("^0+$"))
+    return _sized(d, 9, (weighted(d, (1, 4, 3, 7, 5, 8, 6, 9, 10)) % 11 == 0))
 
 
 def japan_my_number(v: Column, *_: Column) -> Column:
@@ -191,7 +238,7 @@ def verhoeff(d: Column) -> Column:
 
 def india_aadhaar(v: Column, text: Column, start: Column, end: Column) -> Column:
     d = digits(v)
-    return _sized(d, 12, (_digit(d, 0) >= 2) & verhoeff(d)) & keywords("aadhaar", "uidai", "आधार")(v, text, start, end)
+    return _sized(d, 12, (_digit(d, 0) >= 2) & verhoeff(d)) & keywords("aadhaar", "uidai", "आधार", "印度身份号码")(v, text, start, end)
 
 
 def taiwan_id(v: Column, *_: Column) -> Column:
@@ -203,7 +250,7 @@ def taiwan_id(v: Column, *_: Column) -> Column:
 
 
 def hong_kong_id(v: Column, *_: Column) -> Column:
-    u = F.upper(F.regexp_replace(v, "[ ()]", ""))
+    u = F.upper(F.regexp_replace(v, r"[\s()]", ""))
     whole = F.lpad(u, 9, " ")
     letter = lambda i: F.when(F.substring(whole, i, 1) == " ", 36).otherwise(F.ascii(F.substring(whole, i, 1)) - 55)
     total = letter(1) * 9 + letter(2) * 8 + weighted(F.substring(whole, 3, 6), (7, 6, 5, 4, 3, 2))
@@ -239,7 +286,7 @@ def iccid(v: Column, *_: Column) -> Column:
 
 
 def vin(v: Column, text: Column, start: Column, end: Column) -> Column:
-    return (F.length(v) == 17) & keywords("vin", "vehicle identification", "chassis", "车辆识别代号", "车架号")(v, text, start, end)
+    return (F.length(v) == 17) & keywords("vin", "vehicle identification", "chassis", "车架号", "车辆识别代号", "차대번호", "車台番号")(v, text, start, end)
 
 
 def coordinates(v: Column, *_: Column) -> Column:

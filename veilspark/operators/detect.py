@@ -2,13 +2,16 @@
 
 A rule's matches come from regexp_extract_all, their offsets from the lengths of what `split` leaves between them; no
 Python runs on rows. Candidates of all rules are sorted by priority, then length, then place, then the rule's order, and
-taken greedily as long as they don't overlap. Offsets count code points from 0. Rules are worked off in chunks of a few
+taken greedily as long as they don't overlap. Only candidates of one group of overlaps are compared with each other, and
+offsets are running sums over blocks, so a text with many values costs little more than its length. Offsets count code points from 0. Rules are worked off in chunks of a few
 columns each, so plans stay small; a text that a pattern doesn't match costs one scan.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -18,6 +21,9 @@ from pyspark.sql import functions as F
 from veilspark.plans.rules import Rule, RuleSet, label_literals
 
 CHUNK = 24
+BLOCK = 64
+CODE_RULE = "CN_ADMIN_DIVISION_CODE_CONTEXT"
+HAN = re.compile("[\u4e00-\u9fff]")
 #: What masks a letter or digit; which characters are masked.
 MASK = "＊"
 MASKED = r"[\p{L}\p{Nd}\p{IsHan}&&[\x{0}-\x{FFFF}]]"
@@ -30,21 +36,47 @@ def _found(text: Column, rule: Rule) -> tuple[Column, Column]:
     values = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(1)) if rule.group else whole
     if labels := label_literals(rule.pattern):
         held = reduce(or_, (F.col("_low").contains(x) for x in labels))
+        if all(HAN.search(x) for x in labels):
+            held = F.col("_han") & held
         return F.when(held, whole), F.when(held, values)
     return whole, values
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each place of an int array what `join` (a sum or a maximum, over numbers from 0 up) makes of it and all before it.
+
+    Blocks are joined first, so a place looks back over its block only."""
+
+    def upto(v: Column, blocks: Column) -> Column:
+        before = F.transform(blocks, lambda _, b: F.aggregate(F.slice(blocks, F.lit(1), b), F.lit(0), join))
+        at = lambda i: (i / BLOCK).cast("int")
+        return let(before, lambda p: F.transform(v, lambda _, i: F.aggregate(F.slice(v, at(i) * BLOCK + 1, i % BLOCK + 1), F.get(p, at(i)), join)))
+
+    def of(v: Column) -> Column:
+        last = F.greatest(((F.size(v) - 1) / BLOCK).cast("int"), F.lit(0))
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.aggregate(F.slice(v, b * BLOCK + 1, F.lit(BLOCK)), F.lit(0), join))
+        return let(blocks, lambda x: upto(v, x))
+
+    return let(values, of)
+
+
 def _spans(text: Column, whole: Column, values: Column, between: Column, rule: Rule, order: int, white: tuple[str, ...]) -> Column:
-    def span(v: Column, i: Column) -> Column:
-        add = lambda a, x: a + F.length(x)
-        end = F.aggregate(F.slice(between, F.lit(1), i + 1), F.lit(0), add) + F.aggregate(F.slice(whole, F.lit(1), i + 1), F.lit(0), add)
+    # what stands before a match, and the match itself
+    sizes = F.zip_with(whole, F.slice(between, F.lit(1), F.size(whole)), lambda x, y: F.length(x) + F.length(y))
+
+    def span(v: Column, end: Column) -> Column:
         return F.struct(F.lit(-rule.priority).alias("p"), (-F.length(v)).alias("l"), (end - F.length(v)).alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.category).alias("category"), F.lit(rule.priority).alias("priority"), v.alias("value"))
 
     def good(x: Column) -> Column:
         ok = F.coalesce(rule.valid(x["value"], text, x["start"], x["end"]), F.lit(False)) & (x["end"] > x["start"])
         return ok & ~F.lower(x["value"]).isin(*[w.lower() for w in white]) if white else ok
 
-    return F.when(F.size(whole) > 0, F.filter(F.transform(values, span), good))
+    return F.when(F.size(whole) > 0, F.filter(F.zip_with(values, running(sizes, lambda a, b: a + b), span), good))
 
 
 def _none() -> Column:
@@ -56,11 +88,11 @@ def _black(text: Column, term: str, order: int) -> Column:
     between = F.split(text, "\\Q" + term.replace("\\E", "\\E\\\\E\\Q") + "\\E", -1)
     n = len(term)
 
-    def span(i: Column) -> Column:
-        end = F.aggregate(F.slice(between, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x)) + i * n
-        return F.struct(F.lit(-1000).alias("p"), F.lit(-n).alias("l"), (end - n).alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit("BLACKLIST").alias("rule_id"), F.lit("user_defined").alias("category"), F.lit(1000).alias("priority"), F.lit(term).alias("value"))
+    def span(end: Column) -> Column:
+        return F.struct(F.lit(-1000).alias("p"), F.lit(-n).alias("l"), (end - n).alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit("BLACKLIST").alias("rule_id"), F.lit("custom").alias("category"), F.lit(1000).alias("priority"), F.lit(term).alias("value"))
 
-    return F.when(text.contains(term), F.transform(F.sequence(F.lit(1), F.size(between) - 1), span))
+    sizes = F.transform(F.slice(between, F.lit(1), F.size(between) - 1), lambda x: F.length(x) + n)
+    return F.when(text.contains(term), F.transform(running(sizes, lambda a, b: a + b), span))
 
 
 def candidates(df: DataFrame, rules: RuleSet, text: str = "text", out: str = "candidates") -> DataFrame:
@@ -69,7 +101,7 @@ def candidates(df: DataFrame, rules: RuleSet, text: str = "text", out: str = "ca
     body = F.col(text)
     enabled = rules.enabled
     # the lower-case text lets most texts skip most labelled rules after a plain search
-    df = df.withColumn("_low", F.translate(F.lower(body), "ſ", "s"))
+    df = df.withColumn("_low", F.translate(F.lower(body), "ſ", "s")).withColumn("_han", body.rlike(HAN.pattern))
     for c in range(0, len(enabled), CHUNK):
         part = list(enumerate(enabled))[c : c + CHUNK]
         found = {}
@@ -79,7 +111,7 @@ def candidates(df: DataFrame, rules: RuleSet, text: str = "text", out: str = "ca
         df = df.withColumns(found)
         df = df.withColumns({f"_b{i}": F.when(F.size(f"_w{i}") > 0, F.split(body, rule.regex, -1)) for i, rule in part})
         own = [F.coalesce(_spans(body, F.col(f"_w{i}"), F.col(f"_v{i}" if rule.group else f"_w{i}"), F.col(f"_b{i}"), rule, i, rules.whitelist), _none()) for i, rule in part]
-        df = df.select(*names, "_low", *got, F.concat(*own).alias(f"_c{c}"))
+        df = df.select(*names, "_low", "_han", *got, F.concat(*own).alias(f"_c{c}"))
         got.append(f"_c{c}")
     black = [F.coalesce(_black(body, t, 10_000 + i), _none()) for i, t in enumerate(rules.blacklist)]
     every = F.concat(*map(F.col, got), *black) if got or black else _none()
@@ -93,8 +125,20 @@ def selected(spans: Column) -> Column:
         clash = F.exists(chosen, lambda a: (a["start"] < x["end"]) & (x["start"] < a["end"]))
         return F.when(clash, chosen).otherwise(F.concat(chosen, F.array(x)))
 
-    chosen = F.aggregate(F.array_sort(spans), F.array().cast(f"array<{SPAN}>"), take)
-    return F.array_sort(chosen, lambda a, b: a["start"] - b["start"])
+    def greedy(part: Column) -> Column:
+        chosen = F.aggregate(F.array_sort(part), F.array().cast(f"array<{SPAN}>"), take)
+        return F.when(F.size(part) < 2, part).otherwise(F.array_sort(chosen, lambda a, b: a["start"] - b["start"]))
+
+    def grouped(x: Column, reach: Column) -> Column:
+        # a group begins where all spans before it have ended
+        begin = F.filter(F.transform(x, lambda s, i: F.when((i == 0) | (s["start"] >= F.get(reach, i - 1)), i)), lambda i: i.isNotNull())
+        return let(begin, lambda b: F.flatten(F.transform(b, lambda i, g: greedy(F.slice(x, i + 1, F.coalesce(F.get(b, g + 1), F.size(x)) - i)))))
+
+    def placed(x: Column) -> Column:
+        return let(running(F.transform(x, lambda s: s["end"]), lambda a, b: F.greatest(a, b)), lambda reach: grouped(x, reach))
+
+    by_place = F.array_sort(spans, lambda a, b: a["start"] - b["start"])
+    return F.when(F.size(spans) < 2, spans).otherwise(let(by_place, placed))
 
 
 def detect(df: DataFrame, rules: RuleSet | None = None, text: str = "text", out: str = "found") -> DataFrame:
@@ -102,10 +146,35 @@ def detect(df: DataFrame, rules: RuleSet | None = None, text: str = "text", out:
     return candidates(df, rules or RuleSet(), text, out).withColumn(out, selected(F.col(out)))
 
 
+def detect_with_lexicon(df: DataFrame, lexicon: DataFrame, rules: RuleSet | None = None, key: str = "doc_id", text: str = "text", out: str = "found") -> DataFrame:
+    """`detect` with the place names of a lexicon (level, code, name) among the candidates, under the same white list and
+    switches; division codes count only if the lexicon has them. `key` tells the rows of `df` apart."""
+    from veilspark.operators.lexicon import LEVELS, places
+
+    rules = rules or RuleSet()
+    found = candidates(df, rules, text, "_c")
+    codes = found.select(key, F.explode_outer(F.filter("_c", lambda x: x["rule_id"] == CODE_RULE)).alias("x")).select(key, "x.start", F.regexp_replace("x.value", "[^0-9]", "").alias("code")).where("code <> ''")
+    known = codes.join(lexicon.select(F.col("code").cast("string").alias("code")).distinct(), "code").groupBy(key).agg(F.collect_set("start").alias("_known"))
+    on = [level for level, (rule_id, _) in LEVELS.items() if rule_id not in rules.disabled]
+    pick = lambda i: F.element_at(F.map_from_arrays(F.array(*map(F.lit, LEVELS)), F.array(*(F.lit(v[i]) for v in LEVELS.values()))), F.col("level"))
+    named = places(df.select(key, text), lexicon, key, text).where(F.col("level").isin(*on))
+    if rules.whitelist:
+        named = named.where(~F.lower("name").isin(*[w.lower() for w in rules.whitelist]))
+    size = F.length("name")
+    span = F.struct((-pick(1)).alias("p"), (-size).alias("l"), F.col("start"), F.lit(9_000).alias("ord"), F.col("end"), pick(0).alias("rule_id"), F.lit("geography_location").alias("category"), pick(1).alias("priority"), F.col("name").alias("value"))
+    held = named.groupBy(key).agg(F.collect_list(span.cast(SPAN)).alias("_places"))
+    joined = found.join(known, key, "left").join(held, key, "left")
+    good = F.filter("_c", lambda x: (x["rule_id"] != CODE_RULE) | F.coalesce(F.array_contains("_known", x["start"]), F.lit(False)))
+    every = F.concat(good, F.coalesce("_places", _none()))
+    return joined.withColumn(out, every).drop("_c", "_known", "_places").withColumn(out, selected(F.col(out)))
+
+
 def matches(df: DataFrame, rules: RuleSet | None = None, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """A row for each value found: keys, rule_id, category, priority, start, end, value."""
-    found = detect(df.select(*keys, text), rules, text).where(F.size("found") > 0)
-    return found.select(*keys, F.explode("found").alias("x")).select(*keys, *(F.col(f"x.{c}").alias(c) for c in ("rule_id", "category", "priority", "start", "end", "value")))
+    found = detect(df.select(*keys, text), rules, text)
+    # the outer form, since for the other one the optimizer adds a filter that detects everything again
+    found = found.select(*keys, F.explode_outer("found").alias("x")).where("x IS NOT NULL")
+    return found.select(*keys, *(F.col(f"x.{c}").alias(c) for c in ("rule_id", "category", "priority", "start", "end", "value")))
 
 
 def mask(value: Column) -> Column:
@@ -122,7 +191,7 @@ def hmac_sha256(key: bytes, message: Column) -> Column:
 def pseudonym(key: bytes):
     """A replacement of equal length and shape that depends on the key, the rule and the value."""
     # The characters that stand for Han characters.
-    han = "甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未申酉戌亥天地玄黄宇宙洪荒安"
+    han = "甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未申酉戌亥春夏秋冬东南西北中"
 
     def of(value: Column, rule_id: Column) -> Column:
         code = F.hex(hmac_sha256(key, F.concat(F.encode(rule_id, "utf-8"), F.lit(b"\0"), F.encode(value, "utf-8"))))
@@ -173,6 +242,6 @@ def context(text: Column, start: Column, end: Column, reach: int = 24) -> Column
 
 def review(df: DataFrame, rules: RuleSet | None = None, key: str = "doc_id", text: str = "text", most: int = 5000) -> DataFrame:
     """The items a person reviews in each text: numbered by place, with context; `most` of a text, and whether there are more."""
-    found = detect(df.select(key, text), rules, text).withColumn("truncated", F.size("found") >= most)
+    found = detect(df.select(key, text), rules, text).withColumn("truncated", F.size("found") > most)
     rows = found.select(key, text, "truncated", F.posexplode(F.slice("found", 1, most)).alias("i", "x"))
     return rows.select(key, (F.col("i") + 1).alias("item"), "x.rule_id", "x.start", "x.end", "x.value", context(F.col(text), F.col("x.start"), F.col("x.end")).alias("context"), "truncated")

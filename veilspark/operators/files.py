@@ -12,9 +12,15 @@ from veilspark.operators.detect import detect, rewritten
 from veilspark.plans.rules import RuleSet
 
 # The bytes (in hex) that files of a type begin with.
-MAGIC = {"pdf": "25504446", "docx": "504B0304", "xlsx": "504B0304", "pptx": "504B0304", "zip": "504B", "ofd": "504B0304", "png": "89504E470D0A1A0A", "jpg": "FFD8FF", "jpeg": "FFD8FF", "bmp": "424D", "flac": "664C6143", "mkv": "1A45DFA3", "7z": "377ABCAF271C", "gz": "1F8B", "rar": "526172211A07"}
-#: How much work space a type needs: a factor and a least number of bytes.
-WORKSPACE = {"pdf": (2, 268435456), "zip": (3, 268435456), "7z": (3, 268435456), "tar": (3, 268435456), "png": (4, 268435456), "jpg": (4, 268435456)}
+MAGIC = {"pdf": "255044462D", "docx": "504B", "xlsx": "504B", "pptx": "504B", "zip": "504B", "ofd": "504B", "png": "89504E470D0A1A0A", "jpg": "FFD8FF", "jpeg": "FFD8FF", "bmp": "424D", "flac": "664C6143", "mkv": "1A45DFA3", "7z": "377ABCAF271C", "gz": "1F8B", "rar": "526172211A07"}
+#: How much work space a type needs: a factor and a least number of bytes; last, that of all other types.
+WORKSPACE = (
+    (("pdf", "ofd"), 6, 2 << 30),
+    (("png", "jpg", "jpeg", "bmp"), 4, 512 << 20),
+    (("mp4", "mov", "mkv"), 5, 4 << 30),
+    (("mp3", "wav", "m4a", "flac"), 4, 2 << 30),
+)
+OTHER_WORKSPACE = (3, 256 << 20)
 
 
 def extension(name: Column) -> Column:
@@ -27,9 +33,12 @@ def magic_matches(name: Column, content: Column) -> Column:
     out, ext = F.lit(None).cast("boolean"), extension(name)
     for e, head in MAGIC.items():
         out = F.when(ext == e, F.hex(F.substring(content, 1, len(head) // 2)) == head).otherwise(out)
+    head = lambda i, n: F.hex(F.substring(content, i, n))
     wave = (F.hex(F.substring(content, 1, 4)) == "52494646") & (F.hex(F.substring(content, 9, 4)) == "57415645")
+    mp3 = head(1, 3).isin("494433") | (head(1, 1) == "FF") & (F.hex(F.substring(content, 2, 1)) >= "E0")
+    movie = (head(5, 4) == "66747970") & (F.octet_length(content) >= 12)
     tar = F.hex(F.substring(content, 258, 5)) == "7573746172"
-    return F.when(ext == "wav", wave).when(ext == "tar", tar).otherwise(out)
+    return F.when(ext == "wav", wave).when(ext == "mp3", mp3).when(ext.isin("mp4", "mov", "m4a"), movie).when(ext == "tar", tar).otherwise(out)
 
 
 def safe_name(name: Column) -> Column:
@@ -54,9 +63,10 @@ def redacted_names(df: DataFrame, name: str, rules: RuleSet | None = None, suffi
 
 def capacity(files: DataFrame, name: str, size: str, reversible: bool = False) -> DataFrame:
     """One row for files: their bytes, what stays on disk, the largest work space, and the peak of both."""
-    ext, work = extension(F.col(name)), F.greatest(F.col(size) * 2, F.lit(268435456))
-    for e, (factor, least) in WORKSPACE.items():
-        work = F.when(ext == e, F.greatest(F.col(size) * factor, F.lit(least))).otherwise(work)
+    ext, (factor, least) = extension(F.col(name)), OTHER_WORKSPACE
+    work = F.greatest(F.col(size) * factor, F.lit(least))
+    for kinds, factor, least in WORKSPACE:
+        work = F.when(ext.isin(*kinds), F.greatest(F.col(size) * factor, F.lit(least))).otherwise(work)
     total = F.coalesce(F.sum(size), F.lit(0))
     stay = total * (2 if reversible else 1)
     space = F.coalesce(F.max(work), F.lit(0))

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 # Levels with their priorities; words that make a text speak of places.
 LEVELS = {"province": ("CN_ADMIN_PROVINCE", 79), "prefecture": ("CN_ADMIN_PREFECTURE", 78), "county": ("CN_ADMIN_COUNTY", 77), "township": ("CN_ADMIN_TOWNSHIP", 76)}
-PLACE_WORDS = ("地址", "住址", "住所", "户籍", "籍贯", "出生地", "位于", "所在地", "行政区", "address", "located", "residence")
+PLACE_WORDS = (
+    "地址", "住址", "住所", "户籍", "籍贯", "所在地", "居住地", "现住", "出生地", "送达", "邮寄", "通信地址", "联系地址",
+    "行政区划", "省份", "城市", "区县", "乡镇", "街道", "镇街", "苏木", "不动产", "房屋坐落", "项目地点",
+)
 
 
 def terms(lexicon: DataFrame) -> DataFrame:
@@ -36,9 +39,10 @@ def places(df: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: str = "
         return F.when(F.length(text) >= n, cut).otherwise(F.array().cast("array<struct<start:int,name:string>>"))
 
     every = F.flatten(F.array(*map(grams, sizes))) if sizes else F.array().cast("array<struct<start:int,name:string>>")
-    cut = df.where(F.col(text) != "").select(key, text, F.explode(every).alias("g")).select(key, text, "g.start", "g.name")
+    # keys and pieces only; texts come back for what is found
+    cut = df.where(F.col(text) != "").select(key, F.explode_outer(every).alias("g")).select(key, "g.start", "g.name")
     hits = cut.join(F.broadcast(known) if known.count() <= most else known, "name").withColumn("end", F.col("start") + F.length("name"))
-    hits = hits.dropDuplicates([key, "start", "name"])
+    hits = hits.dropDuplicates([key, "start", "name"]).join(df.select(key, text).dropDuplicates([key]), key)
     before = F.substring(F.col(text), F.greatest(F.col("start") - window, F.lit(0)) + 1, F.least(F.col("start"), F.lit(window)))
     context = F.lower(F.concat(before, F.lit("\0"), F.substring(F.col(text), F.col("end") + 1, F.lit(window)))).rlike("|".join(PLACE_WORDS))
     high = F.col("level").isin("province", "prefecture")

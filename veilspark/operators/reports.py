@@ -38,8 +38,9 @@ def status_changes(events: DataFrame, job: str, at: str, order: str, status: str
 
 
 def latest(rows: DataFrame, key: str, *order: Column) -> DataFrame:
-    """One row of each key: the first by `order` (an upsert's result)."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
+    """One row of each key: that with the greatest `order` (an upsert's result). Keys are reduced before the shuffle."""
+    best = rows.groupBy(key).agg(F.max_by(F.struct(*(F.col(c) for c in rows.columns if c != key)), F.struct(*order)).alias("_row"))
+    return best.select(key, "_row.*").select(*rows.columns)
 
 
 def project_report(jobs: DataFrame) -> DataFrame:
@@ -57,14 +58,27 @@ def project_report(jobs: DataFrame) -> DataFrame:
     )
 
 
-# The file types of each archive category, in the order in which they are tried.
+# The file types of each archive category, in the order in which they are tried, and why an entry is in one.
 CATEGORIES = (
-    ("DANGEROUS", ("exe", "dll", "bat", "cmd", "com", "scr", "msi", "ps1", "vbs", "js", "jar", "sh", "lnk")),
-    ("REDACTABLE", ("docx", "xlsx", "pptx", "pdf", "ofd", "png", "jpg", "jpeg", "bmp")),
-    ("CONVERTIBLE", ("doc", "xls", "ppt", "wps", "rtf")),
-    ("PREVIEW_ONLY", ("txt", "csv", "json", "xml", "md", "log")),
-    ("NESTED", ("zip", "7z", "tar", "gz", "rar")),
+    ("DANGEROUS", ("exe", "dll", "com", "scr", "msi", "bat", "cmd", "ps1", "vbs", "vbe", "js", "jse", "wsf", "wsh", "hta", "jar", "app", "dmg", "pkg", "sh", "bash", "zsh", "so", "dylib")),
+    ("REDACTABLE", ("docx", "xlsx", "pptx", "pdf", "ofd", "png", "jpg", "jpeg", "bmp", "mp3", "wav", "m4a", "flac", "mp4", "mov", "mkv")),
+    ("CONVERTIBLE", ("doc", "xls", "ppt", "wps", "dps", "et", "rtf")),
+    ("PREVIEW_ONLY", ("gif", "tif", "tiff", "webp", "avi", "flv", "wmv")),
+    ("NESTED_ARCHIVE", ("zip", "7z", "tar", "gz", "tgz", "rar")),
 )
+REASONS = {
+    "REDACTABLE": "可使用当前格式处理器脱敏",
+    "CONVERTIBLE": "旧版Office/WPS格式需本地转换器，当前不自动转换",
+    "PREVIEW_ONLY": "已识别格式，但当前阶段尚未提供安全脱敏处理或安全重封装",
+    "NESTED_ARCHIVE": "嵌套压缩包默认不递归展开",
+    "UNSUPPORTED": "当前不支持该文件格式",
+    "DANGEROUS": "可执行或脚本类高风险文件，始终排除",
+    "UNKNOWN": "无法根据文件名识别格式",
+}
+
+
+def archive_reason(category: Column) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for kv in REASONS.items() for x in kv)), category)
 
 
 def safe_path(path: Column) -> Column:

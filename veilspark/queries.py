@@ -73,7 +73,7 @@ def event_status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.latest(_table(spark, sf_dir, "events"), "user_id", F.col("ts").desc(), F.col("event_id").desc()).select("user_id", "event_id", "event_type")
+    return r.latest(_table(spark, sf_dir, "events"), "user_id", F.col("ts"), F.col("event_id")).select("user_id", "event_id", "event_type")
 
 
 def event_islands(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ columns each, so plans stay small; a text that a pattern doesn't match costs one
 from __future__ import annotations
 
 import hashlib
+import hmac
 import re
 from collections.abc import Callable
 from functools import reduce
@@ -18,9 +19,10 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.functions.validators import always
 from veilspark.plans.rules import Rule, RuleSet, label_literals
 
-CHUNK = 24
+CHUNK = 70
 BLOCK = 64
 CODE_RULE = "CN_ADMIN_DIVISION_CODE_CONTEXT"
 HAN = re.compile("[\u4e00-\u9fff]")
@@ -65,18 +67,30 @@ def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
     return let(values, of)
 
 
-def _spans(text: Column, whole: Column, values: Column, between: Column, rule: Rule, order: int, white: tuple[str, ...]) -> Column:
-    # what stands before a match, and the match itself
-    sizes = F.zip_with(whole, F.slice(between, F.lit(1), F.size(whole)), lambda x, y: F.length(x) + F.length(y))
+HIT = "struct<ord:int,priority:int,rule_id:string,category:string,whole:array<string>,value:array<string>,between:array<string>>"
+
+
+def _spans(hit: Column) -> Column:
+    """The spans of one rule's matches, from what stands between them."""
+    sizes = F.zip_with(hit["whole"], F.slice(hit["between"], F.lit(1), F.size(hit["whole"])), lambda x, y: F.length(x) + F.length(y))
 
     def span(v: Column, end: Column) -> Column:
-        return F.struct(F.lit(-rule.priority).alias("p"), (-F.length(v)).alias("l"), (end - F.length(v)).alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.category).alias("category"), F.lit(rule.priority).alias("priority"), v.alias("value"))
+        return F.struct((-hit["priority"]).alias("p"), (-F.length(v)).alias("l"), (end - F.length(v)).alias("start"), hit["ord"].alias("ord"), end.alias("end"), hit["rule_id"].alias("rule_id"), hit["category"].alias("category"), hit["priority"].alias("priority"), v.alias("value"))
 
-    def good(x: Column) -> Column:
-        ok = F.coalesce(rule.valid(x["value"], text, x["start"], x["end"]), F.lit(False)) & (x["end"] > x["start"])
-        return ok & ~F.lower(x["value"]).isin(*[w.lower() for w in white]) if white else ok
+    return F.zip_with(hit["value"], running(sizes, lambda a, b: a + b), span)
 
-    return F.when(F.size(whole) > 0, F.filter(F.zip_with(values, running(sizes, lambda a, b: a + b), span), good))
+
+def _valid(x: Column, text: Column, enabled: list[Rule], white: tuple[str, ...]) -> Column:
+    """Whether a span's rule accepts it, and the white list doesn't hold it."""
+    cases = [(i, r) for i, r in enumerate(enabled) if r.valid is not always]
+    own = always(x["value"])
+    if cases:
+        own = F.when(x["ord"] == cases[0][0], cases[0][1].valid(x["value"], text, x["start"], x["end"]))
+        for i, r in cases[1:]:
+            own = own.when(x["ord"] == i, r.valid(x["value"], text, x["start"], x["end"]))
+        own = own.otherwise(always(x["value"]))
+    good = F.coalesce(own, F.lit(False)) & (x["end"] > x["start"])
+    return good & ~F.lower(x["value"]).isin(*[w.lower() for w in white]) if white else good
 
 
 def _none() -> Column:
@@ -110,11 +124,15 @@ def candidates(df: DataFrame, rules: RuleSet, text: str = "text", out: str = "ca
             found |= {f"_w{i}": whole} | ({f"_v{i}": values} if rule.group else {})
         df = df.withColumns(found)
         df = df.withColumns({f"_b{i}": F.when(F.size(f"_w{i}") > 0, F.split(body, rule.regex, -1)) for i, rule in part})
-        own = [F.coalesce(_spans(body, F.col(f"_w{i}"), F.col(f"_v{i}" if rule.group else f"_w{i}"), F.col(f"_b{i}"), rule, i, rules.whitelist), _none()) for i, rule in part]
-        df = df.select(*names, "_low", "_han", *got, F.concat(*own).alias(f"_c{c}"))
+        own = [F.struct(F.lit(i).alias("ord"), F.lit(rule.priority).alias("priority"), F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.category).alias("category"), F.col(f"_w{i}").alias("whole"), F.col(f"_v{i}" if rule.group else f"_w{i}").alias("value"), F.col(f"_b{i}").alias("between")) for i, rule in part]
+        hits = F.filter(F.array(*own).cast(f"array<{HIT}>"), lambda h: F.size(h["whole"]) > 0)
+        df = df.select(*names, "_low", "_han", *got, hits.alias(f"_c{c}"))
         got.append(f"_c{c}")
+    every = F.concat(*map(F.col, got)) if got else F.array().cast(f"array<{HIT}>")
+    df = df.select(*names, every.alias("_hits"))
+    spans = F.filter(F.flatten(F.transform("_hits", _spans)), lambda x: _valid(x, body, enabled, rules.whitelist))
     black = [F.coalesce(_black(body, t, 10_000 + i), _none()) for i, t in enumerate(rules.blacklist)]
-    every = F.concat(*map(F.col, got), *black) if got or black else _none()
+    every = F.concat(F.coalesce(spans, _none()).cast(f"array<{SPAN}>"), *black)
     return df.select(*names, F.coalesce(every, _none()).alias(out))
 
 
@@ -208,11 +226,25 @@ def pseudonym(key: bytes):
                 .otherwise(c)
             )
 
-        return F.array_join(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), one), "")
+        made = F.array_join(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), one), "")
+        return let(made, lambda x: F.when(x == value, _differing(x)).otherwise(x))
 
     return of
 
 
+def _differing(value: Column) -> Column:
+    """`value` with its first digit raised by one or its first letter replaced, whichever comes first."""
+    first = F.regexp_extract(value, r"[0-9]|\p{L}|\p{IsHan}", 0)
+    other = F.when(first.rlike("[0-9]"), ((F.coalesce(first.try_cast("int"), F.lit(0)) + 1) % 10).cast("string")).otherwise("甲")
+    at = F.instr(value, first)
+    return F.when(first == "", value).otherwise(F.concat(F.substring(value, F.lit(1), at - 1), other, F.substring(value, at + 1, F.length(value))))
+
+
+def project_key(master: bytes, project: str, label: str = "veilspark/project/v1") -> bytes:
+    """The key by which one project's values are replaced."""
+    return hmac.new(master, label.encode() + b"\0" + project.strip().encode(), hashlib.sha256).digest()
+
+
 def rewritten(text: Column, found: Column, replace) -> Column:
     """`text` with each span's value replaced; `replace` takes (value, rule_id)."""
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("pos"))

@@ -82,10 +82,19 @@ def archive_reason(category: Column) -> Column:
 
 
 def safe_path(path: Column) -> Column:
-    """A relative path without drive, parent steps, NUL, reserved device names or trailing dots and spaces."""
+    """A relative path without drive or NUL that, with its steps resolved, stays inside and has no reserved device names and
+    no part with a trailing dot or space."""
     clean = F.replace(path, F.lit("\\"), F.lit("/"))
-    bad = lambda x: (x == "..") | x.rlike(r"[. ]$") & ~x.isin(".") | F.upper(x).rlike(r"^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])(\..*)?$")
-    return (path != "") & ~clean.rlike(r"^/|:|\x00") & ~F.exists(F.split(clean, "/"), bad)
+
+    def step(done: Column, x: Column) -> Column:
+        up = (x == "..") & (F.size(done) > 0) & (F.element_at(F.concat(F.array(F.lit("")), done), -1) != "..")
+        return F.when((x == "") | (x == "."), done).when(up, F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
+
+    parts = F.aggregate(F.split(clean, "/"), F.array().cast("array<string>"), step)
+    # Device names.
+    device = r"(?i)^(CON|PRN|AUX|NUL|CLOCK\$|COM[1-9]|LPT[1-9])(\..*)?$"
+    bad = lambda x: x.rlike(r"[. ]$") | x.rlike(device)
+    return F.coalesce((F.trim(path) != "") & ~clean.rlike(r"^/|:|\x00") & ~F.exists(parts, bad), F.lit(False))
 
 
 def archive_category(path: Column, directory: Column) -> Column:
@@ -110,3 +119,61 @@ def unique_names(names: DataFrame, name: str, order: str) -> DataFrame:
     n = F.row_number().over(Window.partitionBy(F.lower(name)).orderBy(order))
     stem, ext = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
     return names.withColumn("_n", n).withColumn("unique_name", F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat(stem, F.lit(" ("), F.col("_n").cast("string"), F.lit(")"), ext))).drop("_n")
+
+
+def merged_counts(reports: DataFrame, *by: str) -> DataFrame:
+    """Reports of parts (by, units, counts: a map from rule to number, warnings) as one: rules' numbers are added, each
+    warning is kept once."""
+    rows = reports.select(*by, F.explode_outer("counts").alias("rule_id", "n"))
+    rules = rows.where("n IS NOT NULL").groupBy(*by, "rule_id").agg(F.sum("n").alias("n")).groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("rule_id", "n")))).alias("counts"))
+    rest = reports.groupBy(*by).agg(F.sum("units").alias("units"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array_distinct(F.filter("warnings", lambda x: F.trim(x) != "")))))).alias("warnings"))
+    return rest.join(rules, list(by), "left")
+
+
+def saturated_sum(value: Column) -> Column:
+    """The sum of longs that stops at the greatest long instead of overflowing."""
+    return F.least(F.sum(value.cast("decimal(38,0)")), F.lit(2**63 - 1).cast("decimal(38,0)")).cast("long")
+
+
+def newest(jobs: DataFrame, at: str, key: str, most: int) -> DataFrame:
+    """The `most` newest jobs, by time and then key."""
+    return jobs.orderBy(F.col(at).desc(), F.col(key)).limit(most)
+
+
+# Which states follow which.
+FINISHED = ("COMPLETED", "FAILED", "CANCELLED", "INTERRUPTED")
+
+
+def illegal_changes(changes: DataFrame, status: str, previous: str = "previous") -> DataFrame:
+    """Status changes out of a state that is final."""
+    return changes.where(F.col(previous).isin(*FINISHED) & ~F.col(status).eqNullSafe(F.col(previous)))
+
+
+def kept_originals(found: DataFrame, redacted: DataFrame, key: str = "doc_id", text: str = "redacted") -> DataFrame:
+    """The distinct original values (key, value) that still stand in the rewritten text of their row."""
+    values = found.select(key, "value").distinct()
+    rows = redacted.select(key, text)
+    return values.join(rows, key).where(F.col(text).contains(F.col("value"))).select(key, "value").distinct()
+
+
+def safe_message(text: Column, most: int = 200) -> Column:
+    """A message on one line of at most `most` characters; null if there is nothing in it."""
+    line = F.trim(F.regexp_replace(text, r"[\r\n\t]+", " "))
+    return F.when(line != "", F.substring(line, 1, most))
+
+
+def html_escaped(text: Column) -> Column:
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        text = F.replace(text, F.lit(sign), F.lit(name))
+    return text
+
+
+def clock(millis: Column) -> Column:
+    """Milliseconds as hh:mm:ss.SSS."""
+    s = F.floor(millis / 1000)
+    return F.format_string("%02d:%02d:%02d.%03d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60, millis % 1000)
+
+
+def valid_key(text: Column) -> Column:
+    """Whether a project's or job's key is of 1 to 80 letters, digits, dots, dashes and underscores."""
+    return F.coalesce(text.rlike(r"^[A-Za-z0-9._-]{1,80}$"), F.lit(False))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, replace
 
@@ -316,12 +317,50 @@ class RuleSet:
     def with_lists(self, black: list[str] | None = None, white: list[str] | None = None) -> RuleSet:
         return self._next(blacklist=self.blacklist + clean_list(black or []), whitelist=clean_list([*self.whitelist, *(white or [])]))
 
+    @property
+    def custom(self) -> list[Rule]:
+        return [r for r in self.rules if r.rule_id.startswith("CUSTOM_")]
+
     def with_custom(self, name: str, category: str, priority: int, pattern: str) -> RuleSet:
-        rule_id = custom_id(name)
-        if any(r.rule_id == rule_id for r in self.rules):
-            raise ValueError(f"there is a rule {rule_id} already")
-        check_custom(pattern)
-        return self._next(rules=(*self.rules, Rule(rule_id, category, priority, pattern, 0, True)))
+        rule = custom_rule(name, category, priority, pattern)
+        if any(r.rule_id == rule.rule_id for r in self.rules):
+            raise ValueError(f"there is a rule {rule.rule_id} already")
+        if len(self.custom) >= MOST_CUSTOM:
+            raise ValueError(f"more than {MOST_CUSTOM} custom rules")
+        return self._next(rules=(*self.rules, rule))
+
+    def with_changed(self, name: str, category: str, priority: int, pattern: str) -> RuleSet:
+        rule = custom_rule(name, category, priority, pattern)
+        if all(r.rule_id != rule.rule_id for r in self.custom):
+            raise ValueError(f"there is no custom rule {rule.rule_id}")
+        return self._next(rules=tuple(rule if r.rule_id == rule.rule_id else r for r in self.rules))
+
+    def without_custom(self, rule_id: str) -> RuleSet:
+        if all(r.rule_id != rule_id for r in self.custom):
+            raise ValueError(f"there is no custom rule {rule_id}")
+        return self._next(rules=tuple(r for r in self.rules if r.rule_id != rule_id), disabled=self.disabled - {rule_id})
+
+    def exported(self) -> str:
+        """The custom rules as JSON."""
+        return json.dumps([{"id": r.rule_id, "category": r.category, "priority": r.priority, "regex": r.pattern} for r in self.custom], ensure_ascii=False)
+
+    def imported(self, text: str, replace_all: bool = False) -> RuleSet:
+        """With the custom rules of a JSON text: beside the present ones, where ids may not clash, or in their place."""
+        known = {r.rule_id: r for r in self.rules if not (replace_all and r.rule_id.startswith("CUSTOM_"))}
+        given = [x for x in json.loads(text) if x]
+        if not given:
+            raise ValueError("no custom rules")
+        own: dict[str, Rule] = {}
+        for x in given:
+            rule = custom_rule(x["id"], x["category"], int(x["priority"]), x["regex"])
+            if rule.rule_id in known or rule.rule_id in own and not replace_all:
+                raise ValueError(f"there is a rule {rule.rule_id} already")
+            own[rule.rule_id] = rule
+        rules = (*known.values(), *own.values())
+        ids = {r.rule_id for r in rules}
+        if sum(i.startswith("CUSTOM_") for i in ids) > MOST_CUSTOM:
+            raise ValueError(f"more than {MOST_CUSTOM} custom rules")
+        return self._next(rules=rules, disabled=frozenset(d for d in self.disabled if not d.startswith("CUSTOM_") or d in ids))
 
     def to_dataframe(self, spark: SparkSession) -> DataFrame:
         rows = [(r.rule_id, r.category, r.priority, r.group, r.rule_id not in self.disabled, i) for i, r in enumerate(self.rules)]
@@ -342,6 +381,32 @@ def clean_list(values: list[str], most: int = 6000) -> tuple[str, ...]:
     return tuple(out.values())
 
 
+#: How many custom rules and versions of a rule set are kept.
+MOST_CUSTOM, MOST_VERSIONS = 100, 20
+
+
+@dataclass(frozen=True)
+class History:
+    """The last versions of a rule set, the newest first."""
+
+    sets: tuple[RuleSet, ...] = ()
+
+    def saved(self, rules: RuleSet) -> History:
+        return History((rules, *(r for r in self.sets if r.version != rules.version))[:MOST_VERSIONS])
+
+    def rolled_back(self, version: int) -> History:
+        """With the set of an earlier version as a new version on top."""
+        old = next((r for r in self.sets if r.version == version), None)
+        if old is None:
+            raise ValueError(f"there is no version {version}")
+        return self.saved(replace(old, version=max(r.version for r in self.sets) + 1))
+
+
+def custom_rule(name: str, category: str, priority: int, pattern: str) -> Rule:
+    check_custom(pattern)
+    return Rule(custom_id(name), category, priority, pattern, 0, True)
+
+
 def custom_id(name: str) -> str:
     own = re.sub(r"[^A-Z0-9_]", "_", name.strip().upper())
     return (own if own.startswith("CUSTOM_") else f"CUSTOM_{own}")[:67]

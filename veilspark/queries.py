@@ -88,7 +88,7 @@ def order_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_archive_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    exts = F.array(*map(F.lit, ("docx", "exe", "txt", "zip", "doc", "bin")))
+    exts = F.array(*map(F.lit, ("docx", "vbe", "gif", "tgz", "et", "txt")))
     path = F.concat(F.when(F.col("p_partkey") % 11 == 0, "../").otherwise(""), F.lit("a/f"), F.col("p_partkey").cast("string"), F.lit("."), F.get(exts, (F.col("p_partkey") % 6).cast("int")))
     made = _table(spark, sf_dir, "part").select(path.alias("path"))
     return made.groupBy(r.archive_category(F.col("path"), F.lit(False)).alias("category")).agg(F.count(F.lit(1)).alias("n"))
@@ -114,11 +114,127 @@ def capacity_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("case_id"), F.lit("R").alias("rule_id"), F.col("o_orderstatus").alias("value"), F.col("o_orderkey").alias("k"))
-    return r.precision_recall(n.where("k % 3 <> 0").drop("k"), n.where("k % 5 <> 0").drop("k"))
+    """Detection against values put into texts: an e-mail and an address with a last part from 0 to 299, so some aren't valid."""
+    n = F.col("o_orderkey")
+    mail = F.concat(F.lit("user"), n.cast("string"), F.lit("@shop.example.com"))
+    ip = F.concat(F.lit("10.0."), (n % 200).cast("string"), F.lit("."), (n % 300).cast("string"))
+    made = _table(spark, sf_dir, "orders").select(n.cast("string").alias("case_id"), mail.alias("mail"), ip.alias("ip"))
+    both = F.array(F.struct(F.lit("EMAIL_ADDRESS").alias("rule_id"), F.col("mail").alias("value")), F.struct(F.lit("IPV4_ADDRESS").alias("rule_id"), F.col("ip").alias("value")))
+    expected = made.select("case_id", F.explode(both).alias("x")).select("case_id", "x.rule_id", "x.value")
+    texts = made.select("case_id", F.concat(F.lit("mail "), "mail", F.lit(" from "), "ip", F.lit(" today")).alias("text"))
+    return r.precision_recall(expected, d.matches(texts, RuleSet().only("EMAIL_ADDRESS", "IPV4_ADDRESS"), ("case_id",)))
+
+
+def validator_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of a table's numbers each validator accepts."""
+    from veilspark.functions import validators as v
+
+    n = _table(spark, sf_dir, "customer").select((F.col("c_custkey") * 1000003).cast("string").alias("n"))
+    ok = lambda f, value: F.count_if(F.coalesce(f(value, value, F.lit(0), F.length(value)), F.lit(False)))
+    pad = lambda size: F.lpad("n", size, "0")
+    dated = lambda tail: F.concat(F.lpad((F.substring(pad(13), 12, 2).cast("int") % 28 + 1).cast("string"), 2, "0"), F.lit("02"), tail)
+    letter = F.substring(F.lit(v.ES_CHECK), (F.substring(pad(13), 12, 2).cast("int") % 23 + 1), F.lit(1))
+    figures = {
+        "luhn": ok(v.luhn, pad(16)), "imei": ok(v.imei, pad(15)), "canadian_sin": ok(v.canadian_sin, pad(9)), "uk_nhs": ok(v.uk_nhs, pad(10)),
+        "dutch_bsn": ok(v.dutch_bsn, pad(9)), "australian_tfn": ok(v.australian_tfn, pad(9)), "new_zealand_ird": ok(v.new_zealand_ird, pad(9)),
+        "japan_my_number": ok(v.japan_my_number, pad(12)), "korean_resident": ok(v.korean_resident, pad(13)), "french_nir": ok(v.french_nir, pad(15)),
+        "norwegian_birth_number": ok(v.norwegian_birth_number, dated(F.substring(pad(13), 7, 7))), "cn_resident_id_15": ok(v.cn_resident_id_15, F.concat(F.lit("110101"), pad(9))),
+        "spanish_dni": ok(v.spanish_dni_nie, F.concat(F.substring(pad(10), 3, 8), letter)), "us_ssn": ok(v.us_ssn, pad(9)),
+    }
+    return n.agg(*(x.cast("long").alias(k) for k, x in figures.items()))
+
+
+def lexicon_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place names and other values of one text, resolved together."""
+    nation, region = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "region")
+    known = region.select(F.lit("province").alias("level"), F.col("r_regionkey").cast("string").alias("code"), F.col("r_name").alias("name")).unionByName(nation.select(F.lit("county").alias("level"), (F.col("n_nationkey") + 10).cast("string").alias("code"), F.col("n_name").alias("name")))
+    text = F.concat(F.lit("区划代码 "), F.lpad((F.col("s_suppkey") % 50).cast("string"), 2, "0"), F.lit(" mail s@"), F.lower("r_name"), F.lit(".com of "), F.col("n_name"))
+    made = _table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    found = d.detect_with_lexicon(made.select(F.col("s_suppkey").alias("doc_id"), text.alias("text")), known, RuleSet().only("EMAIL_ADDRESS", d.CODE_RULE, "CN_ADMIN_COUNTY", "CN_ADMIN_PROVINCE"))
+    return found.select(F.explode_outer("found").alias("x")).where("x IS NOT NULL").groupBy("x.rule_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    exts = F.array(*map(F.lit, ("docx", "vbe", "gif", "tgz", "et", "bin", "mp4", "txt", "pdf", "")))
+    n = F.col("o_orderkey")
+    ext = F.get(exts, (n % 10).cast("int"))
+    path = F.concat(F.when(n % 13 == 0, "a/../../").when(n % 13 == 1, "a/../con.").otherwise("a/"), F.lit("f"), F.when(ext != "", F.concat(F.lit("."), ext)).otherwise(""))
+    return _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("archive"), n.cast("long").alias("entry"), path.alias("path"), F.lit(False).alias("directory"), ((n % 50 + 1) * 40_000_000).cast("long").alias("size"), ((n % 200 + 1) * 10_000).cast("long").alias("compressed"))
+
+
+def archive_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.operators.archives import verdicts
+
+    return verdicts(_entries(spark, sf_dir))
+
+
+def archive_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.operators.archives import inspected
+
+    return inspected(_entries(spark, sf_dir)).groupBy("category", "reason").agg(F.count(F.lit(1)).alias("n"), F.count_if("by_default").alias("by_default"), F.count_if("may_keep").alias("may_keep"))
+
+
+def archive_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.operators.archives import running_bytes
+
+    return running_bytes(_entries(spark, sf_dir)).select("archive", "entry", "upto", "beyond")
+
+
+def archive_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.operators.archives import decided, manifest
+
+    e = _entries(spark, sf_dir)
+    asked = e.where("entry % 7 = 2").select("archive", "entry", F.lit("KEEP_UNPROCESSED").alias("action"))
+    files, wrong = decided(e, asked)
+    counts = manifest(files).select("archive", "redacted", "excluded", "included_unprocessed", "failed")
+    return counts.join(wrong.groupBy("archive").agg(F.count(F.lit(1)).alias("refused")), "archive", "left").withColumn("refused", F.coalesce("refused", F.lit(0)))
+
 
+def merged_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = F.create_map(F.col("l_returnflag"), F.col("l_quantity").cast("long"), F.concat(F.col("l_returnflag"), F.col("l_linestatus")), F.lit(1).cast("long"))
+    reports = _table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 100).alias("job"), F.col("l_linenumber").cast("long").alias("units"), part.alias("counts"), F.array(F.col("l_linestatus"), F.lit(" ")).alias("warnings"))
+    got = r.merged_counts(reports, "job")
+    return got.select("job", "units", F.array_join("warnings", ",").alias("warnings"), F.coalesce(F.element_at("counts", "A"), F.lit(0)).alias("a"), F.coalesce(F.element_at("counts", "NO"), F.lit(0)).alias("no"), F.size("counts").cast("long").alias("rules"))
 
-NAMES = ("lexicon_places", "capacity_estimate", "gold_metrics", "hits_by_source", "email_matches", "ipv4_matches", "all_rules", "masked_phones", "residual_after_masking", "blacklist_hits", "validator_aba", "validator_pesel", "event_status_changes", "latest_event", "event_islands", "order_report", "page_archive_categories")
+
+def usage_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _table(spark, sf_dir, "orders")
+    return o.groupBy("o_orderstatus").agg(r.saturated_sum(F.col("o_orderkey").cast("long")).alias("bytes"), r.saturated_sum(F.lit(2**62)).alias("full"))
+
+
+def newest_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r.newest(_table(spark, sf_dir, "orders"), "o_orderdate", "o_orderkey", 200).select("o_orderkey", "o_custkey")
+
+
+def illegal_event_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = F.when(F.col("event_type") == "purchase", "COMPLETED").otherwise(F.upper("event_type"))
+    e = _table(spark, sf_dir, "events").withColumn("state", state)
+    changes = r.status_changes(e, "user_id", "ts", "event_id", "state").where("previous IS NOT NULL")
+    return r.illegal_changes(changes, "state").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def kept_originals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses that stay readable where only e-mails are masked."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = d.matches(docs, RuleSet().only("EMAIL_ADDRESS", "IPV4_ADDRESS"))
+    return r.kept_originals(found, d.redact(docs, RuleSet().only("EMAIL_ADDRESS")))
+
+
+def text_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _table(spark, sf_dir, "customer")
+    raw = F.concat(F.lit(" <a&b>\n\t"), F.col("c_name"), F.lit('" '))
+    return c.select("c_custkey", r.safe_message(raw, 20).alias("message"), r.html_escaped(raw).alias("html"), r.clock(F.col("c_custkey").cast("long") * 12_345).alias("clock"), r.valid_key(F.col("c_name")).alias("valid"))
+
+
+def merged_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.operators.media import merged_findings
+
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    e = _table(spark, sf_dir, "events").select((F.col("user_id") % 20).cast("int").alias("stream"), F.lit("VISUAL").alias("kind"), F.lit("R").alias("rule_id"), F.col("event_type").alias("value"), at.alias("start_ms"), (at + 60_000).alias("end_ms"), F.lit(1).alias("x"), F.lit(1).alias("y"), F.lit(9).alias("w"), F.lit(9).alias("h"), (F.col("event_id") % 100 / 100.0).cast("double").alias("confidence"))
+    return merged_findings(e, 300_000).select("stream", "value", "start_ms", "end_ms", "n", "confidence")
+
+
+NAMES = ("validator_checks", "lexicon_detect", "archive_verdicts", "archive_reasons", "archive_bytes", "archive_manifest", "merged_reports", "usage_bytes", "newest_jobs", "illegal_event_changes", "kept_originals", "text_helpers", "merged_media", "lexicon_places", "capacity_estimate", "gold_metrics", "hits_by_source", "email_matches", "ipv4_matches", "all_rules", "masked_phones", "residual_after_masking", "blacklist_hits", "validator_aba", "validator_pesel", "event_status_changes", "latest_event", "event_islands", "order_report", "page_archive_categories")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -136,15 +252,59 @@ def _sum(weights: tuple[int, ...]) -> str:
     return " + ".join(f"{w} * {_DIGIT.format(i + 1)}" for i, w in enumerate(weights))
 
 
+_ENTRIES = """WITH raw AS (SELECT o_custkey AS archive, CAST(o_orderkey AS BIGINT) AS entry, o_orderkey % 13 NOT IN (0, 1) AS safe,
+  list_extract(['REDACTABLE', 'DANGEROUS', 'PREVIEW_ONLY', 'NESTED_ARCHIVE', 'CONVERTIBLE', 'UNSUPPORTED', 'REDACTABLE', 'UNSUPPORTED', 'REDACTABLE', 'UNKNOWN'], CAST(o_orderkey % 10 AS INTEGER) + 1) AS kind,
+  CAST(o_orderkey % 50 + 1 AS BIGINT) * 40000000 AS size, CAST(o_orderkey % 200 + 1 AS BIGINT) * 10000 AS compressed FROM orders),
+e AS (SELECT *, CASE WHEN safe THEN kind ELSE 'DANGEROUS' END AS category FROM raw)"""
+
+
+def _checks() -> str:
+    """Counts of valid numbers, by the weights that the standards give."""
+    luhn = lambda size: "(" + " + ".join(_DIGIT.format(i + 1) if (size - i) % 2 else f"(2 * {_DIGIT.format(i + 1)}) // 10 + (2 * {_DIGIT.format(i + 1)}) % 10" for i in range(size)) + ") % 10 = 0"
+    mod = lambda weights: f"(11 - ({_sum(weights)}) % 11) % 11"
+    nz = f"CASE WHEN {mod((3, 2, 7, 6, 5, 4, 3, 2))} < 10 THEN {mod((3, 2, 7, 6, 5, 4, 3, 2))} ELSE {mod((7, 4, 3, 2, 5, 2, 7, 6))} END"
+    jp = f"({_sum((6, 5, 4, 3, 2, 7, 6, 5, 4, 3, 2))}) % 11"
+    pad = "lpad(n, {}, '0')"
+    day = "lpad(CAST(CAST(substr(lpad(n, 13, '0'), 12, 2) AS INTEGER) % 28 + 1 AS VARCHAR), 2, '0') || '02' || substr(lpad(n, 13, '0'), 7, 7)"
+    checks = {
+        "luhn": (pad.format(16), luhn(16)), "imei": (pad.format(15), luhn(15)), "canadian_sin": (pad.format(9), f"v <> '000000000' AND {luhn(9)}"),
+        "uk_nhs": (pad.format(10), f"{mod((10, 9, 8, 7, 6, 5, 4, 3, 2))} = {_DIGIT.format(10)}"),
+        "dutch_bsn": (pad.format(9), f"v <> '000000000' AND ({_sum((9, 8, 7, 6, 5, 4, 3, 2, -1))}) % 11 = 0"),
+        "australian_tfn": (pad.format(9), f"({_sum((1, 4, 3, 7, 5, 8, 6, 9, 10))}) % 11 = 0"), "new_zealand_ird": (pad.format(9), f"{nz} = {_DIGIT.format(9)}"),
+        "japan_my_number": (pad.format(12), f"CASE WHEN {jp} <= 1 THEN 0 ELSE 11 - {jp} END = {_DIGIT.format(12)}"),
+        "korean_resident": (pad.format(13), f"(11 - ({_sum((2, 3, 4, 5, 6, 7, 8, 9, 2, 3, 4, 5))}) % 11) % 10 = {_DIGIT.format(13)}"),
+        "french_nir": (pad.format(15), "97 - CAST(substr(v, 1, 13) AS BIGINT) % 97 = CAST(substr(v, 14, 2) AS BIGINT)"),
+        "norwegian_birth_number": (day, f"{mod((3, 7, 6, 1, 8, 9, 4, 5, 2))} = {_DIGIT.format(10)} AND {mod((5, 4, 3, 2, 7, 6, 5, 4, 3, 2))} = {_DIGIT.format(11)}"),
+        "cn_resident_id_15": ("'110101' || lpad(n, 9, '0')", "try_strptime('19' || substr(v, 7, 6), '%Y%m%d') IS NOT NULL"),
+        "spanish_dni": ("substr(lpad(n, 10, '0'), 3, 8) || substr('TRWAGMYFPDXBNJZSQVHLCKE', CAST(substr(lpad(n, 13, '0'), 12, 2) AS INTEGER) % 23 + 1, 1)", "substr('TRWAGMYFPDXBNJZSQVHLCKE', CAST(substr(v, 1, 8) AS INTEGER) % 23 + 1, 1) = substr(v, 9, 1)"),
+        "us_ssn": (pad.format(9), "substr(v, 1, 3) NOT IN ('000', '666') AND substr(v, 1, 1) <> '9' AND substr(v, 4, 2) <> '00' AND substr(v, 6, 4) <> '0000'"),
+    }
+    own = ", ".join(f"(SELECT count(*) FILTER ({test}) FROM (SELECT {value} AS v FROM c)) AS {name}" for name, (value, test) in checks.items())
+    return f"WITH c AS (SELECT CAST(c_custkey * 1000003 AS VARCHAR) AS n FROM customer) SELECT {own}"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "lexicon_places": "WITH t AS (SELECT n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), m AS (SELECT r.r_name AS name, 'province' AS level FROM t JOIN region r ON contains(t.n_name || ' in ' || t.r_name, r.r_name) UNION ALL SELECT n.n_name, 'county' FROM t JOIN nation n ON contains(t.n_name || ' in ' || t.r_name, n.n_name)) SELECT name, level, count(*) AS n FROM m GROUP BY ALL",
-        "capacity_estimate": "WITH f AS (SELECT p_partkey % 3 AS e, CAST(p_partkey AS BIGINT) * 1000000 AS size FROM part), w AS (SELECT size, greatest(size * CASE WHEN e = 2 THEN 3 ELSE 2 END, 268435456) AS work FROM f) SELECT count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(size) AS BIGINT) AS persistent, max(work) AS workspace, CAST(sum(size) AS BIGINT) + max(work) AS peak FROM w",
-        "gold_metrics": "WITH c AS (SELECT count(*) FILTER (o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0) AS tp, count(*) FILTER (o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0) AS fp, count(*) FILTER (o_orderkey % 3 <> 0 AND o_orderkey % 5 = 0) AS fn FROM orders) SELECT tp, fp, fn, tp / (tp + fp) AS \"precision\", tp / (tp + fn) AS recall FROM c",
+        "capacity_estimate": "WITH f AS (SELECT p_partkey % 3 AS e, CAST(p_partkey AS BIGINT) * 1000000 AS size FROM part), w AS (SELECT size, CASE WHEN e = 1 THEN greatest(size * 6, 2147483648) ELSE greatest(size * 3, 268435456) END AS work FROM f) SELECT count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(size) AS BIGINT) AS persistent, max(work) AS workspace, CAST(sum(size) AS BIGINT) + max(work) AS peak FROM w",
+        "gold_metrics": "WITH c AS (SELECT 2 * count(*) AS e, count(*) + count(*) FILTER (o_orderkey % 300 <= 255) AS tp FROM orders) SELECT tp, CAST(0 AS BIGINT) AS fp, e - tp AS fn, CAST(1 AS DOUBLE) AS \"precision\", tp / e AS recall FROM c",
+        "validator_checks": _checks(),
+        "lexicon_detect": "WITH t AS (SELECT s_suppkey % 50 AS code, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), k AS (SELECT r_regionkey AS c FROM region UNION SELECT n_nationkey + 10 FROM nation) SELECT 'CN_ADMIN_COUNTY' AS rule_id, count(*) AS n FROM t UNION ALL SELECT 'EMAIL_ADDRESS', count(*) FROM t WHERE NOT contains(r_name, ' ') UNION ALL SELECT 'CN_ADMIN_DIVISION_CODE_CONTEXT', count(*) FROM t WHERE code >= 10 AND code IN (SELECT c FROM k)",
+        "archive_verdicts": _ENTRIES + " SELECT archive, count(*) AS entries, CAST(sum(size) AS BIGINT) AS bytes, count(*) FILTER (category = 'REDACTABLE') AS redactable, count(*) FILTER (category = 'DANGEROUS') AS dangerous, array_to_string(list_filter([CASE WHEN bool_or(entry >= 10000) THEN 'too_many' END, CASE WHEN bool_or(size > 1073741824) THEN 'too_large' END, CASE WHEN bool_or(size > 200 * compressed) THEN 'too_dense' END, CASE WHEN sum(size) > 8589934592 THEN 'too_much' END], lambda x: x IS NOT NULL), ',') AS rejected FROM e GROUP BY archive",
+        "archive_reasons": _ENTRIES + " SELECT category, CASE WHEN NOT safe THEN '路径不安全，可能逃逸压缩包工作目录' ELSE CASE category WHEN 'REDACTABLE' THEN '可使用当前格式处理器脱敏' WHEN 'CONVERTIBLE' THEN '旧版Office/WPS格式需本地转换器，当前不自动转换' WHEN 'PREVIEW_ONLY' THEN '已识别格式，但当前阶段尚未提供安全脱敏处理或安全重封装' WHEN 'NESTED_ARCHIVE' THEN '嵌套压缩包默认不递归展开' WHEN 'UNSUPPORTED' THEN '当前不支持该文件格式' WHEN 'DANGEROUS' THEN '可执行或脚本类高风险文件，始终排除' ELSE '无法根据文件名识别格式' END END AS reason, count(*) AS n, count(*) FILTER (category = 'REDACTABLE') AS by_default, count(*) FILTER (safe AND category <> 'DANGEROUS') AS may_keep FROM e GROUP BY ALL",
+        "archive_bytes": _ENTRIES + " SELECT archive, entry, CAST(sum(size) OVER w AS BIGINT) AS upto, sum(size) OVER w > 8589934592 AS beyond FROM e WINDOW w AS (PARTITION BY archive ORDER BY entry)",
+        "archive_manifest": _ENTRIES + ", a AS (SELECT *, entry % 7 = 2 AND (category = 'REDACTABLE' OR category = 'DANGEROUS') AS refused FROM e) SELECT archive, count(*) FILTER (NOT refused AND entry % 7 <> 2 AND category = 'REDACTABLE') AS redacted, count(*) FILTER (entry % 7 <> 2 AND category <> 'REDACTABLE') AS excluded, count(*) FILTER (entry % 7 = 2 AND NOT refused) AS included_unprocessed, CAST(0 AS BIGINT) AS failed, count(*) FILTER (refused) AS refused FROM a GROUP BY archive HAVING count(*) FILTER (NOT refused) > 0",
+        "merged_reports": "WITH j AS (SELECT l_orderkey % 100 AS job, * FROM lineitem) SELECT job, CAST(sum(l_linenumber) AS BIGINT) AS units, array_to_string(list_sort(list_distinct(list(l_linestatus))), ',') AS warnings, CAST(coalesce(sum(CAST(l_quantity AS BIGINT)) FILTER (l_returnflag = 'A'), 0) AS BIGINT) AS a, count(*) FILTER (l_returnflag || l_linestatus = 'NO') AS no, count(DISTINCT l_returnflag) + count(DISTINCT l_returnflag || l_linestatus) AS rules FROM j GROUP BY job",
+        "usage_bytes": "SELECT o_orderstatus, CAST(sum(o_orderkey) AS BIGINT) AS bytes, CASE WHEN count(*) > 1 THEN 9223372036854775807 ELSE 4611686018427387904 END AS \"full\" FROM orders GROUP BY o_orderstatus",
+        "newest_jobs": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 200",
+        "illegal_event_changes": "WITH e AS (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) SELECT user_id, count(*) AS n FROM e WHERE p = 'purchase' AND event_type <> 'purchase' GROUP BY user_id",
+        "kept_originals": f"SELECT DISTINCT doc_id, value FROM ({_IPV4})",
+        "text_helpers": "SELECT c_custkey, trim(substr('<a&b> ' || c_name || '\"', 1, 20)) AS message, ' &lt;a&amp;b&gt;' || chr(10) || chr(9) || c_name || '&quot; ' AS html, printf('%02d:%02d:%02d.%03d', m // 3600000, m % 3600000 // 60000, m % 60000 // 1000, m % 1000) AS clock, regexp_full_match(c_name, '[A-Za-z0-9._-]{1,80}') AS valid FROM (SELECT *, CAST(c_custkey AS BIGINT) * 12345 AS m FROM customer)",
+        "merged_media": "WITH e AS (SELECT CAST(user_id % 20 AS INTEGER) AS stream, event_type AS value, epoch_us(ts) // 1000 AS s, epoch_us(ts) // 1000 + 60000 AS t, event_id % 100 / 100 AS confidence FROM events), m AS (SELECT *, CASE WHEN s - max(t) OVER (PARTITION BY stream, value ORDER BY s, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 300000 THEN 0 ELSE 1 END AS b FROM e), i AS (SELECT *, sum(b) OVER (PARTITION BY stream, value ORDER BY s, t ROWS UNBOUNDED PRECEDING) AS g FROM m) SELECT stream, value, min(s) AS start_ms, max(t) AS end_ms, count(*) AS n, min(confidence) AS confidence FROM i GROUP BY stream, value, g",
         "email_matches": _EMAIL,
         "ipv4_matches": _IPV4,
         "masked_phones": "SELECT c_custkey, CASE WHEN m THEN 'phone ＊＊＊＊＊＊＊＊＊＊＊ of ' ELSE 'phone ' || p || ' of ' END || c_name AS redacted, CAST(m AS INTEGER) AS n FROM (SELECT *, regexp_full_match(p, '1[3-9][0-9]{9}') AS m FROM (SELECT c_custkey, c_name, '13' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS p FROM customer))",
-        "residual_after_masking": "SELECT CAST(0 AS BIGINT) AS residual",
+        "residual_after_masking": r"WITH m AS (SELECT regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,63}', '*', 'g'), '([0-9]{1,3}\.){3}[0-9]{1,3}', '*', 'g') AS t FROM documents) SELECT CAST(coalesce(sum(len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,63}|([0-9]{1,3}\.){3}[0-9]{1,3}'))), 0) AS BIGINT) AS residual FROM m",
         "blacklist_hits": "SELECT value, CAST(sum(n) AS BIGINT) AS n, count(*) AS docs FROM (SELECT t.value, (length(text) - length(replace(text, t.value, ''))) // length(t.value) AS n FROM documents, (VALUES ('License'), ('MIT')) t(value) WHERE contains(text, t.value)) GROUP BY value",
         "validator_aba": f"SELECT c_custkey, v AS value FROM (SELECT c_custkey, lpad(CAST(c_custkey * 7919 AS VARCHAR), 9, '0') AS v FROM customer) WHERE v <> '000000000' AND ({_sum((3, 7, 1) * 3)}) % 10 = 0",
         "validator_pesel": f"SELECT c_custkey, v AS value FROM (SELECT c_custkey, lpad(CAST(c_custkey * 1000003 AS VARCHAR), 11, '0') AS v FROM customer) WHERE (10 - ({_sum((1, 3, 7, 9, 1, 3, 7, 9, 1, 3))}) % 10) % 10 = {_DIGIT.format(11)}",
@@ -152,5 +312,5 @@ def oracle_sql() -> dict[str, str]:
         "latest_event": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
         "event_islands": "WITH e AS (SELECT user_id, event_type, epoch_us(ts) // 1000 AS s, epoch_us(ts) // 1000 + 60000 AS t FROM events), m AS (SELECT *, CASE WHEN s - max(t) OVER (PARTITION BY user_id, event_type ORDER BY s, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 3600000 THEN 0 ELSE 1 END AS b FROM e), i AS (SELECT *, sum(b) OVER (PARTITION BY user_id, event_type ORDER BY s, t ROWS UNBOUNDED PRECEDING) AS g FROM m) SELECT user_id, event_type, min(s) AS start_ms, max(t) AS end_ms, count(*) AS n FROM i GROUP BY user_id, event_type, g",
         "order_report": "SELECT CAST(o_custkey % 50 AS BIGINT) AS project_id, count(*) AS files, count(*) FILTER (o_orderstatus = 'F') AS completed, count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) AS failed, CAST(0 AS BIGINT) AS cancelled, count(*) FILTER (o_orderstatus = 'O') AS pending, CAST(sum(o_orderkey) AS BIGINT) AS bytes, count(*) AS matches, bool_or(o_orderkey % 97 = 0) AS any_unprocessed FROM orders GROUP BY 1",
-        "page_archive_categories": "SELECT CASE WHEN p_partkey % 11 = 0 THEN 'DANGEROUS' ELSE list_extract(['REDACTABLE', 'DANGEROUS', 'PREVIEW_ONLY', 'NESTED', 'CONVERTIBLE', 'UNSUPPORTED'], CAST(p_partkey % 6 AS INTEGER) + 1) END AS category, count(*) AS n FROM part GROUP BY 1",
+        "page_archive_categories": "SELECT CASE WHEN p_partkey % 11 = 0 THEN 'DANGEROUS' ELSE list_extract(['REDACTABLE', 'DANGEROUS', 'PREVIEW_ONLY', 'NESTED_ARCHIVE', 'CONVERTIBLE', 'UNSUPPORTED'], CAST(p_partkey % 6 AS INTEGER) + 1) END AS category, count(*) AS n FROM part GROUP BY 1",
     }

@@ -61,6 +61,21 @@ def redacted_names(df: DataFrame, name: str, rules: RuleSet | None = None, suffi
     return rows.withColumn("new_name", F.concat(kept, F.lit(suffix), F.col("_dotted"))).drop("_stem", "_dotted", "_seen", "_found")
 
 
+def redacted_paths(df: DataFrame, path: str, rules: RuleSet | None = None) -> DataFrame:
+    """The distinct paths of `df` (path, new_path): found values in each step replaced, and characters that file systems
+    refuse; the extension of the last step stays. Steps are rows while values are found in them."""
+    steps = F.posexplode(F.split(F.replace(F.col(path), F.lit("\\"), F.lit("/")), "/")).alias("_at", "_step")
+    rows = df.select(path).where(F.col(path).isNotNull()).distinct().select(path, steps, (F.size(F.split(F.replace(F.col(path), F.lit("\\"), F.lit("/")), "/")) - 1).alias("_last"))
+    ext = F.when(F.col("_at") == F.col("_last"), extension(F.col("_step"))).otherwise("")
+    rows = rows.withColumn("_dotted", F.when(ext == "", "").otherwise(F.concat(F.lit("."), F.right(F.col("_step"), F.length(ext)))))
+    rows = rows.withColumn("_stem", F.substring(F.col("_step"), F.lit(1), F.length("_step") - F.length("_dotted")))
+    rows = detect(rows.withColumn("_seen", F.translate("_stem", "_-", "  ")), rules, "_seen", "_found")
+    clean = F.when(F.size("_found") > 0, rewritten(F.col("_stem"), F.col("_found"), lambda v, r: F.lit("REDACTED"))).otherwise(F.col("_stem"))
+    made = F.when(F.trim("_step") == "", F.col("_step")).otherwise(safe_name(F.concat(clean, F.col("_dotted"))))
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("_at"), made.alias("_new"))))
+    return rows.groupBy(path).agg(F.array_join(F.transform(ordered, lambda x: x["_new"]), "/").alias("new_path"))
+
+
 def capacity(files: DataFrame, name: str, size: str, reversible: bool = False) -> DataFrame:
     """One row for files: their bytes, what stays on disk, the largest work space, and the peak of both."""
     ext, (factor, least) = extension(F.col(name)), OTHER_WORKSPACE

@@ -117,3 +117,18 @@ def filter_lines(findings: DataFrame, *by: str) -> DataFrame:
     box = F.format_string("drawbox=x=%d:y=%d:w=%d:h=%d:color=black:t=fill:enable='%s'", "x", "y", "w", "h", span)
     mute = F.format_string("volume=0:enable='%s'", span)
     return findings.select(*by, "start_ms", F.when(F.col("kind") == "AUDIO", mute).otherwise(box).alias("line"))
+
+
+def ignore_key(kind: Column, stream: Column, start_ms: Column, end_ms: Column, *box: Column) -> Column:
+    """The key by which a finding is ignored again: its kind, stream, times in tenths of a second and box in steps of four pixels."""
+    whole = lambda c, n: F.call_function("div", c.cast("long"), F.lit(n).cast("long"))
+    return F.concat_ws(":", F.lit("media"), kind, stream, whole(start_ms, 100), whole(end_ms, 100), *(whole(c, 4) for c in box))
+
+
+def not_ignored(findings: DataFrame, ignored: DataFrame) -> DataFrame:
+    """Findings of which neither the key nor the value (whatever its case) is in the table `ignored` (value)."""
+    key = ignore_key(*(F.col(c) for c in ("kind", "stream", "start_ms", "end_ms", "x", "y", "w", "h")))
+    exact = ignored.select(F.col("value").alias("_key")).distinct()
+    loose = ignored.where("trim(value) <> ''").select(F.lower("value").alias("_low")).distinct()
+    rows = findings.join(exact, key == F.col("_key"), "left_anti")
+    return rows.join(loose, F.lower("value") == F.col("_low"), "left_anti")

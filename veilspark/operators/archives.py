@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilspark.operators.scans import running
+
 from veilspark.operators.reports import archive_category, archive_reason, safe_path
 
 # Limits of entries, and reasons that go before that of the category.
@@ -54,10 +56,10 @@ def verdicts(entries: DataFrame) -> DataFrame:
     return got.withColumn("rejected", F.array_join(rejected, ",")).drop("too_many", "too_large", "too_dense")
 
 
-def running_bytes(entries: DataFrame) -> DataFrame:
-    """`entries` with the bytes unpacked up to and with each entry, and whether they pass the limit there."""
-    w = Window.partitionBy("archive").orderBy("entry").rowsBetween(Window.unboundedPreceding, 0)
-    return entries.withColumn("upto", F.sum(F.greatest("size", F.lit(0))).over(w)).withColumn("beyond", F.col("upto") > MOST_BYTES)
+def running_bytes(entries: DataFrame, buckets: int = 1) -> DataFrame:
+    """`entries` with the bytes unpacked up to and with each entry, and whether they pass the limit there; over more buckets a large archive is many tasks."""
+    upto = running(entries, ["archive"], F.col("entry"), [], {"upto": ("sum", F.greatest("size", F.lit(0)))}, buckets)
+    return upto.withColumn("beyond", F.col("upto") > MOST_BYTES)
 
 
 def decided(entries: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -23,6 +23,8 @@ from veilspark.plans.rules import Rule, RuleSet, check_custom
 
 BLOCK = 64
 CODE_RULE = "CN_ADMIN_DIVISION_CODE_CONTEXT"
+#: Words that stand for what was taken out.
+GONE = ("已脱敏", "redacted")
 #: What masks a letter or digit; which characters are masked.
 MASK = "＊"
 MASKED = r"[\p{L}\p{Nd}\p{IsHan}&&[\x{0}-\x{FFFF}]]"
@@ -296,8 +298,9 @@ def redact(df: DataFrame, rules: RuleSet | None = None, text: str = "text", key:
 
 
 def residual(df: DataFrame, rules: RuleSet | None = None, keys: tuple[str, ...] = ("doc_id",), text: str = "redacted") -> DataFrame:
-    """Values still found in rewritten text that hold an unmasked letter or digit."""
-    return matches(df, rules, keys, text).where(F.col("value").rlike(r"[\p{L}\p{Nd}\p{IsHan}&&[^＊]]"))
+    """Values still found in rewritten text that hold an unmasked letter or digit; the words that stand for what was taken out are none."""
+    left = matches(df, rules, keys, text).where((F.col("value") != GONE[0]) & (F.lower("value") != GONE[1]))
+    return left.where(F.col("value").rlike(r"[\p{L}\p{Nd}\p{IsHan}&&[^＊]]"))
 
 
 #: The longest text a rule is tried on, matches shown of it, and what is shown around them.

@@ -49,7 +49,11 @@ def safe_name(name: Column) -> Column:
     return F.when(F.coalesce(leaf, F.lit("")) == "", "upload").otherwise(leaf)
 
 
-def redacted_names(df: DataFrame, name: str, rules: RuleSet | None = None, suffix: str = "_redacted", most: int = 180) -> DataFrame:
+#: Fixed value: what is put behind a redacted file's name.
+SUFFIX = "_脱敏"
+
+
+def redacted_names(df: DataFrame, name: str, rules: RuleSet | None = None, suffix: str = SUFFIX, most: int = 180) -> DataFrame:
     """`df` with `new_name`: found values in the stem replaced, a suffix before the extension, at most `most` code points."""
     ext = extension(F.col(name))
     dotted = F.when(ext == "", "").otherwise(F.concat(F.lit("."), F.right(F.col(name), F.length(ext))))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from veilspark.operators.scans import running
+
 
 def counts_by_rule(found: DataFrame, *by: str) -> DataFrame:
     return found.groupBy(*by, "rule_id").agg(F.count(F.lit(1)).alias("n"))
@@ -21,20 +23,23 @@ def precision_recall(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return got.withColumn("precision", share(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", share(F.col("tp"), F.col("tp") + F.col("fn")))
 
 
-def consolidated(findings: DataFrame, keys: list[str], gap: int = 800) -> DataFrame:
-    """Joins spans (start_ms, end_ms) of equal keys that lie at most `gap` apart."""
-    w = Window.partitionBy(*keys).orderBy("start_ms", "end_ms")
-    reach = F.max("end_ms").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(F.col("start_ms") - reach <= gap, 0).otherwise(1)
-    island = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    marked = findings.withColumn("_new", new).withColumn("_island", island)
+def consolidated(findings: DataFrame, keys: list[str], gap: int = 800, buckets: int = 1) -> DataFrame:
+    """Joins spans (start_ms, end_ms) of equal keys that lie at most `gap` apart. Over one bucket a key is one task's window; over more it is spread (see `scans`)."""
+    reach = running(findings, keys, F.col("start_ms"), ["end_ms"], {"_reach": ("max_before", F.col("end_ms"))}, buckets)
+    new = F.when(F.col("start_ms") - F.col("_reach") <= gap, 0).otherwise(1)
+    marked = running(reach, keys, F.col("start_ms"), ["end_ms", "_reach"], {"_island": ("sum", new)}, buckets)
     return marked.groupBy(*keys, "_island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count(F.lit(1)).alias("n")).drop("_island")
 
 
-def status_changes(events: DataFrame, job: str, at: str, order: str, status: str) -> DataFrame:
-    """The events at which a job's status differs from the one before."""
-    w = Window.partitionBy(job).orderBy(at, order)
-    return events.withColumn("previous", F.lag(status).over(w)).where(~F.col("previous").eqNullSafe(F.col(status)))
+def status_changes(events: DataFrame, job: str, at: str, order: str, status: str, buckets: int = 1) -> DataFrame:
+    """The events at which a job's status differs from the one before. With more than one bucket, hot jobs are spread; `at` is a time or a number then."""
+    if buckets < 2:
+        w = Window.partitionBy(job).orderBy(at, order)
+        rows = events.withColumn("previous", F.lag(status).over(w))
+    else:
+        time = F.unix_micros(F.col(at).cast("timestamp")) if dict(events.dtypes)[at].startswith("timestamp") else F.col(at)
+        rows = running(events, [job], time, [order], {"previous": ("previous", F.col(status))}, buckets)
+    return rows.where(~F.col("previous").eqNullSafe(F.col(status)))
 
 
 def latest(rows: DataFrame, key: str, *order: Column) -> DataFrame:
@@ -111,7 +116,8 @@ def spoken_digits(text: Column) -> Column:
     for word, digit in (("zero", "0"), ("oh", "0"), ("one", "1"), ("two", "2"), ("three", "3"), ("four", "4"), ("five", "5"), ("six", "6"), ("seven", "7"), ("eight", "8"), ("nine", "9")):
         text = F.regexp_replace(text, rf"(?i)\b{word}\b", digit)
     text = F.translate(text, "零〇一二两三四五六七八九", "001223456789")
-    return F.regexp_replace(text, r"(?<=[0-9])[\s,，。.、-]+(?=[0-9])", "")
+    # What may stand between digits.
+    return F.regexp_replace(text, r"(?<=[0-9])[\s,，.。·-]+(?=[0-9])", "")
 
 
 def unique_names(names: DataFrame, name: str, order: str) -> DataFrame:
@@ -121,13 +127,16 @@ def unique_names(names: DataFrame, name: str, order: str) -> DataFrame:
     return names.withColumn("_n", n).withColumn("unique_name", F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat(stem, F.lit(" ("), F.col("_n").cast("string"), F.lit(")"), ext))).drop("_n")
 
 
-def merged_counts(reports: DataFrame, *by: str) -> DataFrame:
+def merged_counts(reports: DataFrame, *by: str, order: str | None = None) -> DataFrame:
     """Reports of parts (by, units, counts: a map from rule to number, warnings) as one: rules' numbers are added, each
-    warning is kept once."""
+    warning is kept once, where it first appears by the column `order` (without one: by its text)."""
     rows = reports.select(*by, F.explode_outer("counts").alias("rule_id", "n"))
     rules = rows.where("n IS NOT NULL").groupBy(*by, "rule_id").agg(F.sum("n").alias("n")).groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("rule_id", "n")))).alias("counts"))
-    rest = reports.groupBy(*by).agg(F.sum("units").alias("units"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array_distinct(F.filter("warnings", lambda x: F.trim(x) != "")))))).alias("warnings"))
-    return rest.join(rules, list(by), "left")
+    place = F.struct(F.col(order), F.col("_i")) if order else F.struct(F.col("_w"))
+    said = reports.select(*by, *([order] if order else []), F.posexplode("warnings").alias("_i", "_w")).where(F.trim("_w") != "")
+    kept = said.groupBy(*by, "_w").agg(F.min(place).alias("_p")).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_w"))), lambda x: x["_w"]).alias("warnings"))  # each warning once
+    rest = reports.groupBy(*by).agg(F.sum("units").alias("units")).join(kept, list(by), "left")
+    return rest.withColumn("warnings", F.coalesce("warnings", F.array().cast("array<string>"))).join(rules, list(by), "left")
 
 
 def saturated_sum(value: Column) -> Column:
@@ -135,18 +144,43 @@ def saturated_sum(value: Column) -> Column:
     return F.least(F.sum(value.cast("decimal(38,0)")), F.lit(2**63 - 1).cast("decimal(38,0)")).cast("long")
 
 
+def saturated_total(value: Column) -> Column:
+    """The sum of a job's counts, which stops at the greatest int."""
+    return F.least(F.sum(value.cast("decimal(38,0)")), F.lit(2**31 - 1).cast("decimal(38,0)")).cast("int")
+
+
 def newest(jobs: DataFrame, at: str, key: str, most: int) -> DataFrame:
-    """The `most` newest jobs, by time and then key."""
-    return jobs.orderBy(F.col(at).desc(), F.col(key)).limit(most)
+    """The `most` newest jobs, by falling time and then falling key."""
+    return jobs.orderBy(F.col(at).desc(), F.col(key).desc()).limit(most)
+
+
+def oldest_first(jobs: DataFrame, at: str, key: str) -> DataFrame:
+    """Jobs in the order in which they are taken up again: by time, then key."""
+    return jobs.orderBy(at, key)
+
+
+# The states of a job, those that are at work, those that are final, and which follow which.
+STATES = ("UPLOADED", "INSPECTING", "AWAITING_CONFIRMATION", "ANALYZING", "AWAITING_REVIEW", "PROCESSING", "COMPLETED", "FAILED", "CANCELLED", "INTERRUPTED")
+ACTIVE = ("UPLOADED", "INSPECTING", "ANALYZING", "PROCESSING")
+FINISHED = ("COMPLETED", "FAILED", "CANCELLED")
+EDGES = (
+    ("UPLOADED", "INSPECTING"), ("UPLOADED", "ANALYZING"), ("UPLOADED", "PROCESSING"), ("UPLOADED", "FAILED"), ("INSPECTING", "AWAITING_CONFIRMATION"), ("INSPECTING", "FAILED"),
+    ("ANALYZING", "AWAITING_REVIEW"), ("ANALYZING", "FAILED"), ("AWAITING_CONFIRMATION", "PROCESSING"), ("AWAITING_REVIEW", "PROCESSING"),
+    ("PROCESSING", "COMPLETED"), ("PROCESSING", "FAILED"), ("PROCESSING", "ANALYZING"), ("INTERRUPTED", "UPLOADED"),
+    *((s, "INTERRUPTED") for s in ACTIVE), *((s, "CANCELLED") for s in STATES if s not in (*FINISHED, "INTERRUPTED")),
+)
 
 
-# Which states follow which.
-FINISHED = ("COMPLETED", "FAILED", "CANCELLED", "INTERRUPTED")
+def edges(spark: SparkSession) -> DataFrame:
+    """The legal changes of a job's state: previous, status."""
+    return spark.createDataFrame(list(EDGES), "previous string, status string")
 
 
 def illegal_changes(changes: DataFrame, status: str, previous: str = "previous") -> DataFrame:
-    """Status changes out of a state that is final."""
-    return changes.where(F.col(previous).isin(*FINISHED) & ~F.col(status).eqNullSafe(F.col(previous)))
+    """Changes that no edge of the state machine allows. A job's first state (no previous one) must be UPLOADED; a state that is said again is no change. A null or unknown state is never legal."""
+    legal = F.broadcast(edges(changes.sparkSession).select(F.col("previous").alias("_from"), F.col("status").alias("_to")))  # some thirty rows
+    real = changes.where(~F.col(status).eqNullSafe(F.col(previous)) & ~(F.col(previous).isNull() & F.col(status).eqNullSafe(F.lit(STATES[0]))))
+    return real.join(legal, (F.col(previous) == F.col("_from")) & (F.col(status) == F.col("_to")), "left_anti")
 
 
 def kept_originals(found: DataFrame, redacted: DataFrame, key: str = "doc_id", text: str = "redacted") -> DataFrame:

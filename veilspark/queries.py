@@ -207,10 +207,30 @@ def newest_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def illegal_event_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = F.when(F.col("event_type") == "purchase", "COMPLETED").otherwise(F.upper("event_type"))
+    """Each user as a job whose states follow from its events' ids; the changes that no edge allows."""
+    state = F.element_at(F.array(*map(F.lit, r.STATES)), (F.col("event_id") * 7 % 23 % len(r.STATES) + 1).cast("int"))
     e = _table(spark, sf_dir, "events").withColumn("state", state)
-    changes = r.status_changes(e, "user_id", "ts", "event_id", "state").where("previous IS NOT NULL")
-    return r.illegal_changes(changes, "state").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    changes = r.status_changes(e, "user_id", "ts", "event_id", "state", buckets=16)
+    return r.illegal_changes(changes, "state").groupBy("user_id", "previous", "state").agg(F.count(F.lit(1)).alias("n"))
+
+
+def peak_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What three folders hold as files come and go, and the most they have held by the end of each day."""
+    from veilspark.operators.scans import peaks
+
+    size = F.col("event_id") % 1000 * 1024
+    delta = F.when(F.col("event_type").isin("purchase", "view"), size).otherwise(-size)
+    e = _table(spark, sf_dir, "events").select(F.when(F.col("user_id") % 3 == 0, F.lit(0)).otherwise(F.col("user_id") % 5 + 1).cast("int").alias("folder"), "ts", "event_id", delta.alias("delta"))
+    got = peaks(e, ["folder"], F.unix_micros(F.col("ts").cast("timestamp")), ["event_id"], F.col("delta"), buckets=24)
+    return got.groupBy("folder", F.to_date("ts").cast("string").alias("day")).agg(F.max("peak").alias("peak"), F.max("held").alias("most_held"), F.count(F.lit(1)).alias("changes"))
+
+
+def spread_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Islands of a key that holds a third of all rows, over tasks of their own."""
+    kind = F.when(F.col("event_id") % 3 == 0, "hot").otherwise(F.col("user_id").cast("string"))
+    start = F.unix_millis(F.col("ts").cast("timestamp"))
+    e = _table(spark, sf_dir, "events").select(kind.alias("kind"), start.alias("start_ms"), (start + 60_000 + F.col("event_id") % 7 * 100_000).alias("end_ms"))
+    return r.consolidated(e, ["kind"], 300_000, buckets=24)
 
 
 def kept_originals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -335,7 +355,7 @@ def office_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.groupBy(F.col("file").cast("long").alias("doc_id")).agg(F.sum(F.length("text")).alias("chars"), F.sum(stars).alias("masked"))
 
 
-NAMES = ("media_probes", "model_regions", "media_not_ignored", "job_states", "selection_problems", "file_differences", "redacted_paths", "office_redacted", "validator_checks", "lexicon_detect", "archive_verdicts", "archive_reasons", "archive_bytes", "archive_manifest", "merged_reports", "usage_bytes", "newest_jobs", "illegal_event_changes", "kept_originals", "text_helpers", "merged_media", "lexicon_places", "capacity_estimate", "gold_metrics", "hits_by_source", "email_matches", "ipv4_matches", "all_rules", "masked_phones", "residual_after_masking", "blacklist_hits", "validator_aba", "validator_pesel", "event_status_changes", "latest_event", "event_islands", "order_report", "page_archive_categories")
+NAMES = ("media_probes", "model_regions", "media_not_ignored", "job_states", "selection_problems", "file_differences", "redacted_paths", "office_redacted", "validator_checks", "lexicon_detect", "archive_verdicts", "archive_reasons", "archive_bytes", "archive_manifest", "merged_reports", "usage_bytes", "newest_jobs", "illegal_event_changes", "peak_bytes", "spread_islands", "kept_originals", "text_helpers", "merged_media", "lexicon_places", "capacity_estimate", "gold_metrics", "hits_by_source", "email_matches", "ipv4_matches", "all_rules", "masked_phones", "residual_after_masking", "blacklist_hits", "validator_aba", "validator_pesel", "event_status_changes", "latest_event", "event_islands", "order_report", "page_archive_categories")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -375,7 +395,7 @@ def _checks() -> str:
     pad = "lpad(n, {}, '0')"
     day = "lpad(CAST(CAST(substr(lpad(n, 13, '0'), 12, 2) AS INTEGER) % 28 + 1 AS VARCHAR), 2, '0') || '02' || substr(lpad(n, 13, '0'), 7, 7)"
     checks = {
-        "luhn": (pad.format(16), luhn(16)), "imei": (pad.format(15), luhn(15)), "canadian_sin": (pad.format(9), f"v <> '000000000' AND {luhn(9)}"),
+        "luhn": (pad.format(16), luhn(16)), "imei": (pad.format(15), f"v <> '000000000000000' AND {luhn(15)}"), "canadian_sin": (pad.format(9), f"v <> '000000000' AND {luhn(9)}"),
         "uk_nhs": (pad.format(10), f"{mod((10, 9, 8, 7, 6, 5, 4, 3, 2))} = {_DIGIT.format(10)}"),
         "dutch_bsn": (pad.format(9), f"v <> '000000000' AND ({_sum((9, 8, 7, 6, 5, 4, 3, 2, -1))}) % 11 = 0"),
         "australian_tfn": (pad.format(9), f"({_sum((1, 4, 3, 7, 5, 8, 6, 9, 10))}) % 11 = 0"), "new_zealand_ird": (pad.format(9), f"{nz} = {_DIGIT.format(9)}"),
@@ -412,8 +432,10 @@ def oracle_sql() -> dict[str, str]:
         "archive_manifest": _ENTRIES + ", a AS (SELECT *, entry % 7 = 2 AND (category = 'REDACTABLE' OR category = 'DANGEROUS') AS refused FROM e) SELECT archive, count(*) FILTER (NOT refused AND entry % 7 <> 2 AND category = 'REDACTABLE') AS redacted, count(*) FILTER (entry % 7 <> 2 AND category <> 'REDACTABLE') AS excluded, count(*) FILTER (entry % 7 = 2 AND NOT refused) AS included_unprocessed, CAST(0 AS BIGINT) AS failed, count(*) FILTER (refused) AS refused FROM a GROUP BY archive HAVING count(*) FILTER (NOT refused) > 0",
         "merged_reports": "WITH j AS (SELECT l_orderkey % 100 AS job, * FROM lineitem) SELECT job, CAST(sum(l_linenumber) AS BIGINT) AS units, array_to_string(list_sort(list_distinct(list(l_linestatus))), ',') AS warnings, CAST(coalesce(sum(CAST(l_quantity AS BIGINT)) FILTER (l_returnflag = 'A'), 0) AS BIGINT) AS a, count(*) FILTER (l_returnflag || l_linestatus = 'NO') AS no, count(DISTINCT l_returnflag) + count(DISTINCT l_returnflag || l_linestatus) AS rules FROM j GROUP BY job",
         "usage_bytes": "SELECT o_orderstatus, CAST(sum(o_orderkey) AS BIGINT) AS bytes, CASE WHEN count(*) > 1 THEN 9223372036854775807 ELSE 4611686018427387904 END AS \"full\" FROM orders GROUP BY o_orderstatus",
-        "newest_jobs": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 200",
-        "illegal_event_changes": "WITH e AS (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) SELECT user_id, count(*) AS n FROM e WHERE p = 'purchase' AND event_type <> 'purchase' GROUP BY user_id",
+        "newest_jobs": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 200",
+        "illegal_event_changes": f"WITH e AS (SELECT *, list_extract({list(r.STATES)}, CAST(event_id * 7 % 23 % 10 + 1 AS INTEGER)) AS state FROM events), c AS (SELECT user_id, state, lag(state) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM e) SELECT user_id, previous, state, count(*) AS n FROM c WHERE previous IS DISTINCT FROM state AND NOT (previous IS NULL AND state = 'UPLOADED') AND NOT EXISTS (SELECT 1 FROM (VALUES {', '.join(map(str, r.EDGES))}) t(a, b) WHERE a = previous AND b = state) GROUP BY ALL",
+        "peak_bytes": "WITH e AS (SELECT CAST(CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id % 5 + 1 END AS INTEGER) AS folder, ts, event_id, CASE WHEN event_type IN ('purchase', 'view') THEN 1 ELSE -1 END * (event_id % 1000 * 1024) AS delta FROM events), h AS (SELECT *, CAST(sum(delta) OVER (PARTITION BY folder ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS held FROM e), p AS (SELECT *, greatest(0, max(held) OVER (PARTITION BY folder ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) AS peak FROM h) SELECT folder, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, max(peak) AS peak, max(held) AS most_held, count(*) AS changes FROM p GROUP BY ALL",
+        "spread_islands": "WITH e AS (SELECT CASE WHEN event_id % 3 = 0 THEN 'hot' ELSE CAST(user_id AS VARCHAR) END AS kind, epoch_us(ts) // 1000 AS s, epoch_us(ts) // 1000 + 60000 + event_id % 7 * 100000 AS t FROM events), m AS (SELECT *, CASE WHEN s - max(t) OVER (PARTITION BY kind ORDER BY s, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 300000 THEN 0 ELSE 1 END AS b FROM e), i AS (SELECT *, sum(b) OVER (PARTITION BY kind ORDER BY s, t ROWS UNBOUNDED PRECEDING) AS g FROM m) SELECT kind, min(s) AS start_ms, max(t) AS end_ms, count(*) AS n FROM i GROUP BY kind, g",
         "kept_originals": f"SELECT DISTINCT doc_id, value FROM ({_IPV4})",
         "text_helpers": "SELECT c_custkey, trim(substr('<a&b> ' || c_name || '\"', 1, 20)) AS message, ' &lt;a&amp;b&gt;' || chr(10) || chr(9) || c_name || '&quot; ' AS html, printf('%02d:%02d:%02d.%03d', m // 3600000, m % 3600000 // 60000, m % 60000 // 1000, m % 1000) AS clock, regexp_full_match(c_name, '[A-Za-z0-9._-]{1,80}') AS valid FROM (SELECT *, CAST(c_custkey AS BIGINT) * 12345 AS m FROM customer)",
         "merged_media": "WITH e AS (SELECT CAST(user_id % 20 AS INTEGER) AS stream, event_type AS value, epoch_us(ts) // 1000 AS s, epoch_us(ts) // 1000 + 60000 AS t, event_id % 100 / 100 AS confidence FROM events), m AS (SELECT *, CASE WHEN s - max(t) OVER (PARTITION BY stream, value ORDER BY s, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 300000 THEN 0 ELSE 1 END AS b FROM e), i AS (SELECT *, sum(b) OVER (PARTITION BY stream, value ORDER BY s, t ROWS UNBOUNDED PRECEDING) AS g FROM m) SELECT stream, value, min(s) AS start_ms, max(t) AS end_ms, count(*) AS n, min(confidence) AS confidence FROM i GROUP BY stream, value, g",

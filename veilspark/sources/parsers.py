@@ -24,7 +24,7 @@ def srt_cues(df: DataFrame, text: str, *keys: str) -> DataFrame:
     """A row for each subtitle cue: keys, cue (from 0), start_ms, end_ms, text without tags."""
     parts = F.arrays_zip(*(F.regexp_extract_all(F.col(text), F.lit(CUE), F.lit(g)).alias(n) for g, n in ((1, "a"), (2, "b"), (3, "t"))))
     cues = df.select(*keys, F.posexplode(parts).alias("cue", "x"))
-    clean = F.trim(F.regexp_replace(F.regexp_replace("x.t", "<[^>]{1,200}>", ""), r"[\x00-\x1f]+", " "))
+    clean = F.trim(F.regexp_replace(F.regexp_replace("x.t", "<[^>]{1,200}>", " "), r"[\r\n\t]+", " "))
     return cues.select(*keys, "cue", milliseconds(F.col("x.a")).alias("start_ms"), milliseconds(F.col("x.b")).alias("end_ms"), clean.alias("text"))
 
 

@@ -68,17 +68,6 @@ def test_custom_rules():
         h.rolled_back(1)
 
 
-def test_bridges(spark):
-    from veilspark.operators.media import FINDING, bridges, filter_lines
-
-    rows = [(0, "VISUAL", "R", "a", 0, 600, 10, 10, 20, 20, 0.9), (0, "VISUAL", "R", " A ", 1000, 1600, 20, 10, 20, 20, 0.8), (0, "VISUAL", "R", "a", 9000, 9600, 20, 10, 20, 20, 0.8), (0, "VISUAL", "R", "b", 1000, 1600, 20, 10, 20, 20, 0.7), (0, "AUDIO", "R", "a", 1000, 1600, 0, 0, 0, 0, 0.7)]
-    df = spark.createDataFrame(rows, FINDING)
-    got = bridges(df, 1.0).collect()
-    assert [(r.start_ms, r.end_ms, r.x, r.y, r.w, r.h, r.confidence) for r in got] == [(300, 1300, 7, 7, 36, 26, 0.8)]
-    lines = [r.line for r in filter_lines(df).collect()]
-    assert "drawbox=x=10:y=10:w=20:h=20:color=black:t=fill:enable='between(t,0.000,0.600)'" in lines and sum("volume=0" in x for x in lines) == 1
-
-
 def test_safe_paths(spark):
     from veilspark.operators.reports import safe_path
 

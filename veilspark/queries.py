@@ -246,12 +246,30 @@ def text_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c_custkey", r.safe_message(raw, 20).alias("message"), r.html_escaped(raw).alias("html"), r.clock(F.col("c_custkey").cast("long") * 12_345).alias("clock"), r.valid_key(F.col("c_name")).alias("valid"))
 
 
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as findings of every kind, in four streams of five files."""
+    at, n = F.unix_millis(F.col("ts").cast("timestamp")), F.col("event_id")
+    kind = F.element_at(F.array(*map(F.lit, ("AUDIO", "SUBTITLE", "FACE", "OCR_TEXT"))), (n % 4 + 1).cast("int"))
+    value = F.when(n % 3 == 0, " ").otherwise(F.col("event_type"))
+    box = [((n % m) - 20).cast("int").alias(c) for c, m in (("x", 700), ("y", 500))] + [(n % m).cast("int").alias(c) for c, m in (("w", 90), ("h", 70))]
+    who = [(F.col("user_id") % m).cast("int").alias(c) for c, m in (("file", 5), ("stream", 4))]
+    return _table(spark, sf_dir, "events").select(*who, kind.alias("kind"), F.lit("R").alias("rule_id"), value.alias("value"), at.alias("start_ms"), (at + 60_000 + n % 5 * 1000).alias("end_ms"), *box, (n % 100 / 100.0).cast("double").alias("confidence"), F.lit("l").alias("label"), F.concat(F.lit("c"), n.cast("string")).alias("context"))
+
+
 def merged_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilspark.operators.media import merged_findings
 
-    at = F.unix_millis(F.col("ts").cast("timestamp"))
-    e = _table(spark, sf_dir, "events").select((F.col("user_id") % 20).cast("int").alias("stream"), F.lit("VISUAL").alias("kind"), F.lit("R").alias("rule_id"), F.col("event_type").alias("value"), at.alias("start_ms"), (at + 60_000).alias("end_ms"), F.lit(1).alias("x"), F.lit(1).alias("y"), F.lit(9).alias("w"), F.lit(9).alias("h"), (F.col("event_id") % 100 / 100.0).cast("double").alias("confidence"))
-    return merged_findings(e, 300_000).select("stream", "value", "start_ms", "end_ms", "n", "confidence")
+    got = merged_findings(_findings(spark, sf_dir), 7_200_000, ("file",), buckets=16)
+    return got.select("file", "stream", "kind", "value", "start_ms", "end_ms", "x", "y", "w", "h", "confidence", "context", "n")
+
+
+def media_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filter graphs of five files, in which streams 0 and 1 are video, 2 and 4 audio, and 3 neither."""
+    from veilspark.operators.media import filter_graph
+
+    kinds = F.element_at(F.array(*map(F.lit, ("video", "video", "audio", "subtitle", "audio"))), F.col("stream") + 1)
+    streams = spark.range(25).select((F.col("id") % 5).cast("int").alias("file"), F.floor(F.col("id") / 5).cast("int").alias("stream")).withColumn("type", kinds).withColumn("width", F.lit(640)).withColumn("height", F.lit(480))
+    return filter_graph(_findings(spark, sf_dir), streams)
 
 
 def media_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -355,7 +373,7 @@ def office_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.groupBy(F.col("file").cast("long").alias("doc_id")).agg(F.sum(F.length("text")).alias("chars"), F.sum(stars).alias("masked"))
 
 
-NAMES = ("media_probes", "model_regions", "media_not_ignored", "job_states", "selection_problems", "file_differences", "redacted_paths", "office_redacted", "validator_checks", "lexicon_detect", "archive_verdicts", "archive_reasons", "archive_bytes", "archive_manifest", "merged_reports", "usage_bytes", "newest_jobs", "illegal_event_changes", "peak_bytes", "spread_islands", "kept_originals", "text_helpers", "merged_media", "lexicon_places", "capacity_estimate", "gold_metrics", "hits_by_source", "email_matches", "ipv4_matches", "all_rules", "masked_phones", "residual_after_masking", "blacklist_hits", "validator_aba", "validator_pesel", "event_status_changes", "latest_event", "event_islands", "order_report", "page_archive_categories")
+NAMES = ("media_probes", "model_regions", "media_not_ignored", "job_states", "selection_problems", "file_differences", "redacted_paths", "office_redacted", "validator_checks", "lexicon_detect", "archive_verdicts", "archive_reasons", "archive_bytes", "archive_manifest", "merged_reports", "usage_bytes", "newest_jobs", "illegal_event_changes", "peak_bytes", "spread_islands", "kept_originals", "text_helpers", "merged_media", "media_filters", "lexicon_places", "capacity_estimate", "gold_metrics", "hits_by_source", "email_matches", "ipv4_matches", "all_rules", "masked_phones", "residual_after_masking", "blacklist_hits", "validator_aba", "validator_pesel", "event_status_changes", "latest_event", "event_islands", "order_report", "page_archive_categories")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -373,6 +391,7 @@ r AS (SELECT doc_id, id, g, CAST(1 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS a, C
 m AS (SELECT doc_id, array_to_string(g[a:b], '') AS d FROM r WHERE b IS NOT NULL)
 SELECT doc_id, d AS value FROM m WHERE list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 0 THEN CAST(d[i] AS INTEGER) ELSE (2 * CAST(d[i] AS INTEGER)) // 10 + (2 * CAST(d[i] AS INTEGER)) % 10 END)) % 10 = 0"""
 _FOUND = " UNION ALL ".join(f"SELECT '{rule}' AS rule_id, '{category}' AS category, * FROM ({q})" for rule, category, q in (("EMAIL_ADDRESS", "contact_location", _EMAIL), ("IPV4_ADDRESS", "network_security", _IPV4), ("BANK_CARD_NUMBER", "financial", _CARD)))
+_FINDINGS = "WITH f AS (SELECT CAST(user_id % 5 AS INTEGER) AS file, CAST(user_id % 4 AS INTEGER) AS stream, list_extract(['AUDIO', 'SUBTITLE', 'FACE', 'OCR_TEXT'], CAST(event_id % 4 + 1 AS INTEGER)) AS kind, CASE WHEN event_id % 3 = 0 THEN ' ' ELSE event_type END AS value, epoch_us(ts) // 1000 AS start_ms, epoch_us(ts) // 1000 + 60000 + event_id % 5 * 1000 AS end_ms, CAST(event_id % 700 - 20 AS INTEGER) AS x, CAST(event_id % 500 - 20 AS INTEGER) AS y, CAST(event_id % 90 AS INTEGER) AS w, CAST(event_id % 70 AS INTEGER) AS h, event_id % 100 / 100 AS confidence, 'c' || event_id AS context FROM events)"
 _DIGIT = "CAST(substr(v, {}, 1) AS INTEGER)"
 
 
@@ -438,7 +457,8 @@ def oracle_sql() -> dict[str, str]:
         "spread_islands": "WITH e AS (SELECT CASE WHEN event_id % 3 = 0 THEN 'hot' ELSE CAST(user_id AS VARCHAR) END AS kind, epoch_us(ts) // 1000 AS s, epoch_us(ts) // 1000 + 60000 + event_id % 7 * 100000 AS t FROM events), m AS (SELECT *, CASE WHEN s - max(t) OVER (PARTITION BY kind ORDER BY s, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 300000 THEN 0 ELSE 1 END AS b FROM e), i AS (SELECT *, sum(b) OVER (PARTITION BY kind ORDER BY s, t ROWS UNBOUNDED PRECEDING) AS g FROM m) SELECT kind, min(s) AS start_ms, max(t) AS end_ms, count(*) AS n FROM i GROUP BY kind, g",
         "kept_originals": f"SELECT DISTINCT doc_id, value FROM ({_IPV4})",
         "text_helpers": "SELECT c_custkey, trim(substr('<a&b> ' || c_name || '\"', 1, 20)) AS message, ' &lt;a&amp;b&gt;' || chr(10) || chr(9) || c_name || '&quot; ' AS html, printf('%02d:%02d:%02d.%03d', m // 3600000, m % 3600000 // 60000, m % 60000 // 1000, m % 1000) AS clock, regexp_full_match(c_name, '[A-Za-z0-9._-]{1,80}') AS valid FROM (SELECT *, CAST(c_custkey AS BIGINT) * 12345 AS m FROM customer)",
-        "merged_media": "WITH e AS (SELECT CAST(user_id % 20 AS INTEGER) AS stream, event_type AS value, epoch_us(ts) // 1000 AS s, epoch_us(ts) // 1000 + 60000 AS t, event_id % 100 / 100 AS confidence FROM events), m AS (SELECT *, CASE WHEN s - max(t) OVER (PARTITION BY stream, value ORDER BY s, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 300000 THEN 0 ELSE 1 END AS b FROM e), i AS (SELECT *, sum(b) OVER (PARTITION BY stream, value ORDER BY s, t ROWS UNBOUNDED PRECEDING) AS g FROM m) SELECT stream, value, min(s) AS start_ms, max(t) AS end_ms, count(*) AS n, min(confidence) AS confidence FROM i GROUP BY stream, value, g",
+        "merged_media": _FINDINGS + ", u AS (SELECT *, CASE WHEN start_ms - max(end_ms) OVER (PARTITION BY file, stream, kind ORDER BY start_ms, end_ms, value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 7200000 THEN 0 ELSE 1 END AS b FROM f WHERE kind IN ('AUDIO', 'SUBTITLE')), g AS (SELECT *, sum(b) OVER (PARTITION BY file, stream, kind ORDER BY start_ms, end_ms, value ROWS UNBOUNDED PRECEDING) AS i FROM u) SELECT file, stream, kind, coalesce(arg_min(value, (start_ms, end_ms, value)) FILTER (trim(value) <> ''), '') AS value, min(start_ms) AS start_ms, max(end_ms) AS end_ms, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h, max(confidence) AS confidence, arg_min(context, (start_ms, end_ms, value)) AS context, count(*) AS n FROM g GROUP BY file, stream, kind, i UNION ALL SELECT file, stream, kind, value, start_ms, end_ms, x, y, w, h, confidence, context, 1 FROM f WHERE kind NOT IN ('AUDIO', 'SUBTITLE')",
+        "media_filters": _FINDINGS + ", s AS (SELECT CAST(i % 5 AS INTEGER) AS file, CAST(i // 5 AS INTEGER) AS stream, list_extract(['video', 'video', 'audio', 'subtitle', 'audio'], CAST(i // 5 + 1 AS INTEGER)) AS type FROM range(25) t(i)), j AS (SELECT s.*, f.* EXCLUDE (file, stream) FROM s LEFT JOIN f ON f.file = s.file AND f.stream = s.stream AND CASE WHEN kind IN ('AUDIO', 'SUBTITLE') THEN 'audio' ELSE 'video' END = type WHERE type <> 'subtitle'), n AS (SELECT *, CAST(row_number() OVER (PARTITION BY file, type ORDER BY stream, start_ms, end_ms, x, y, value) - 1 AS INTEGER) AS place FROM j), p AS (SELECT *, type[1] || place AS label, coalesce(type[1] || lag(place) OVER (PARTITION BY file, type, stream ORDER BY place), '0:' || stream) AS src, ':enable=' || chr(39) || printf('between(t,%.3f,%.3f)', start_ms / 1000, end_ms / 1000) || chr(39) AS t FROM n) SELECT file, type, place, stream, '[' || src || ']' || CASE WHEN start_ms IS NULL THEN CASE WHEN type = 'video' THEN 'null' ELSE 'anull' END WHEN type = 'video' THEN printf('drawbox=x=%d:y=%d:w=%d:h=%d:color=black:t=fill', least(greatest(x, 0), 639), least(greatest(y, 0), 479), least(greatest(w, 2), 640), least(greatest(h, 2), 480)) || t ELSE 'volume=0' || t END || '[' || label || ']' AS line, label FROM p",
         # no other rule finds anything in the given tables; tests hold the others against known values
         "all_rules": f"SELECT rule_id, category, count(*) AS n, count(DISTINCT doc_id) AS docs FROM ({_FOUND}) GROUP BY ALL",
         "hits_by_source": f"SELECT source, rule_id, count(*) AS n, count(DISTINCT doc_id) AS docs FROM ({_FOUND}) JOIN documents USING (doc_id) GROUP BY ALL",

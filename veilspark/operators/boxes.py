@@ -42,3 +42,19 @@ def word_boxes(words: DataFrame, rules: RuleSet, *line: str) -> DataFrame:
     sure = F.filter("own", lambda x: x["conf"] >= 0)
     mean = F.when(F.size(sure) > 0, F.aggregate(sure, F.lit(0.0), lambda a, x: a + x["conf"]) / F.size(sure) / 100).otherwise(0.0)
     return own.select(*line, "m.rule_id", "m.value", left.alias("left"), top.alias("top"), (right - left).alias("width"), (low - top).alias("height"), mean.alias("confidence"))
+
+
+def glyph_boxes(spans: DataFrame, glyphs: DataFrame, key: str, reach: int = 64) -> DataFrame:
+    """The boxes of spans in text whose characters have places: key, start, end, line, x, y, w, h, glyphs.
+
+    `spans`: key, start, end (offsets, end beyond the last); `glyphs`: key, at (offset), line, x, y, w, h. Both meet on equal key
+    and stretch of `reach` offsets, so a page's spans aren't compared with all its glyphs, and a page with very many of both is
+    many keys. A span over several lines has a box on each; glyphs without width or height have none; a span without glyphs
+    gives no row, and equal spans one."""
+    cut = spans.select(key, "start", "end").where("end > start").distinct()
+    first, last = F.floor(F.col("start") / reach), F.floor((F.col("end") - 1) / reach)
+    parts = cut.withColumn("_b", F.explode(F.sequence(first, last)))
+    placed = glyphs.where("w > 0 AND h > 0").select(F.col(key).alias("_k"), F.floor(F.col("at") / reach).alias("_g"), "at", "line", "x", "y", "w", "h")
+    met = parts.join(placed, (F.col(key) == F.col("_k")) & (F.col("_b") == F.col("_g")) & (F.col("at") >= F.col("start")) & (F.col("at") < F.col("end")))
+    right, low = F.max(F.col("x") + F.col("w")), F.max(F.col("y") + F.col("h"))
+    return met.groupBy(key, "start", "end", "line").agg(F.min("x").alias("x"), F.min("y").alias("y"), (right - F.min("x")).alias("w"), (low - F.min("y")).alias("h"), F.count(F.lit(1)).alias("glyphs"))

@@ -272,6 +272,17 @@ def media_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_graph(_findings(spark, sf_dir), streams)
 
 
+def span_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer as a page of characters, eighty a line; each order as a span on its customer's page."""
+    from veilspark.operators.boxes import glyph_boxes
+
+    at = F.explode(F.sequence(F.lit(0), (F.col("c_custkey") % 400 + 100).cast("int")))
+    glyphs = _table(spark, sf_dir, "customer").select("c_custkey", at.alias("at")).select("c_custkey", "at", F.floor(F.col("at") / 80).alias("line"), (F.col("at") % 80 * 6).cast("long").alias("x"), (F.floor(F.col("at") / 80) * 10).alias("y"), F.when(F.col("at") % 11 == 0, 0).otherwise(5).alias("w"), F.lit(9).alias("h"))
+    start = (F.col("o_orderkey") % 450).cast("int")
+    spans = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), start.alias("start"), (start + F.col("o_orderkey") % 130).cast("int").alias("end"))
+    return glyph_boxes(spans, glyphs, "c_custkey")
+
+
 def media_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilspark.sources.probes import probed
 
@@ -373,7 +384,7 @@ def office_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.groupBy(F.col("file").cast("long").alias("doc_id")).agg(F.sum(F.length("text")).alias("chars"), F.sum(stars).alias("masked"))
 
 
-NAMES = ("media_probes", "model_regions", "media_not_ignored", "job_states", "selection_problems", "file_differences", "redacted_paths", "office_redacted", "validator_checks", "lexicon_detect", "archive_verdicts", "archive_reasons", "archive_bytes", "archive_manifest", "merged_reports", "usage_bytes", "newest_jobs", "illegal_event_changes", "peak_bytes", "spread_islands", "kept_originals", "text_helpers", "merged_media", "media_filters", "lexicon_places", "capacity_estimate", "gold_metrics", "hits_by_source", "email_matches", "ipv4_matches", "all_rules", "masked_phones", "residual_after_masking", "blacklist_hits", "validator_aba", "validator_pesel", "event_status_changes", "latest_event", "event_islands", "order_report", "page_archive_categories")
+NAMES = ("media_probes", "model_regions", "media_not_ignored", "job_states", "selection_problems", "file_differences", "redacted_paths", "office_redacted", "validator_checks", "lexicon_detect", "archive_verdicts", "archive_reasons", "archive_bytes", "archive_manifest", "merged_reports", "usage_bytes", "newest_jobs", "illegal_event_changes", "peak_bytes", "spread_islands", "kept_originals", "text_helpers", "merged_media", "media_filters", "span_boxes", "lexicon_places", "capacity_estimate", "gold_metrics", "hits_by_source", "email_matches", "ipv4_matches", "all_rules", "masked_phones", "residual_after_masking", "blacklist_hits", "validator_aba", "validator_pesel", "event_status_changes", "latest_event", "event_islands", "order_report", "page_archive_categories")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -457,6 +468,7 @@ def oracle_sql() -> dict[str, str]:
         "spread_islands": "WITH e AS (SELECT CASE WHEN event_id % 3 = 0 THEN 'hot' ELSE CAST(user_id AS VARCHAR) END AS kind, epoch_us(ts) // 1000 AS s, epoch_us(ts) // 1000 + 60000 + event_id % 7 * 100000 AS t FROM events), m AS (SELECT *, CASE WHEN s - max(t) OVER (PARTITION BY kind ORDER BY s, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 300000 THEN 0 ELSE 1 END AS b FROM e), i AS (SELECT *, sum(b) OVER (PARTITION BY kind ORDER BY s, t ROWS UNBOUNDED PRECEDING) AS g FROM m) SELECT kind, min(s) AS start_ms, max(t) AS end_ms, count(*) AS n FROM i GROUP BY kind, g",
         "kept_originals": f"SELECT DISTINCT doc_id, value FROM ({_IPV4})",
         "text_helpers": "SELECT c_custkey, trim(substr('<a&b> ' || c_name || '\"', 1, 20)) AS message, ' &lt;a&amp;b&gt;' || chr(10) || chr(9) || c_name || '&quot; ' AS html, printf('%02d:%02d:%02d.%03d', m // 3600000, m % 3600000 // 60000, m % 60000 // 1000, m % 1000) AS clock, regexp_full_match(c_name, '[A-Za-z0-9._-]{1,80}') AS valid FROM (SELECT *, CAST(c_custkey AS BIGINT) * 12345 AS m FROM customer)",
+        "span_boxes": "WITH g AS (SELECT c_custkey, p, p // 80 AS line, p % 80 * 6 AS x, p // 80 * 10 AS y FROM (SELECT c_custkey, unnest(range(c_custkey % 400 + 101)) AS p FROM customer) WHERE p % 11 <> 0), s AS (SELECT DISTINCT o_custkey AS c_custkey, CAST(o_orderkey % 450 AS INTEGER) AS start, CAST(o_orderkey % 450 + o_orderkey % 130 AS INTEGER) AS \"end\" FROM orders) SELECT c_custkey, start, \"end\", line, min(x) AS x, min(y) AS y, max(x) + 5 - min(x) AS w, max(y) + 9 - min(y) AS h, count(*) AS glyphs FROM s JOIN g USING (c_custkey) WHERE p >= start AND p < \"end\" GROUP BY ALL",
         "merged_media": _FINDINGS + ", u AS (SELECT *, CASE WHEN start_ms - max(end_ms) OVER (PARTITION BY file, stream, kind ORDER BY start_ms, end_ms, value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 7200000 THEN 0 ELSE 1 END AS b FROM f WHERE kind IN ('AUDIO', 'SUBTITLE')), g AS (SELECT *, sum(b) OVER (PARTITION BY file, stream, kind ORDER BY start_ms, end_ms, value ROWS UNBOUNDED PRECEDING) AS i FROM u) SELECT file, stream, kind, coalesce(arg_min(value, (start_ms, end_ms, value)) FILTER (trim(value) <> ''), '') AS value, min(start_ms) AS start_ms, max(end_ms) AS end_ms, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h, max(confidence) AS confidence, arg_min(context, (start_ms, end_ms, value)) AS context, count(*) AS n FROM g GROUP BY file, stream, kind, i UNION ALL SELECT file, stream, kind, value, start_ms, end_ms, x, y, w, h, confidence, context, 1 FROM f WHERE kind NOT IN ('AUDIO', 'SUBTITLE')",
         "media_filters": _FINDINGS + ", s AS (SELECT CAST(i % 5 AS INTEGER) AS file, CAST(i // 5 AS INTEGER) AS stream, list_extract(['video', 'video', 'audio', 'subtitle', 'audio'], CAST(i // 5 + 1 AS INTEGER)) AS type FROM range(25) t(i)), j AS (SELECT s.*, f.* EXCLUDE (file, stream) FROM s LEFT JOIN f ON f.file = s.file AND f.stream = s.stream AND CASE WHEN kind IN ('AUDIO', 'SUBTITLE') THEN 'audio' ELSE 'video' END = type WHERE type <> 'subtitle'), n AS (SELECT *, CAST(row_number() OVER (PARTITION BY file, type ORDER BY stream, start_ms, end_ms, x, y, value) - 1 AS INTEGER) AS place FROM j), p AS (SELECT *, type[1] || place AS label, coalesce(type[1] || lag(place) OVER (PARTITION BY file, type, stream ORDER BY place), '0:' || stream) AS src, ':enable=' || chr(39) || printf('between(t,%.3f,%.3f)', start_ms / 1000, end_ms / 1000) || chr(39) AS t FROM n) SELECT file, type, place, stream, '[' || src || ']' || CASE WHEN start_ms IS NULL THEN CASE WHEN type = 'video' THEN 'null' ELSE 'anull' END WHEN type = 'video' THEN printf('drawbox=x=%d:y=%d:w=%d:h=%d:color=black:t=fill', least(greatest(x, 0), 639), least(greatest(y, 0), 479), least(greatest(w, 2), 640), least(greatest(h, 2), 480)) || t ELSE 'volume=0' || t END || '[' || label || ']' AS line, label FROM p",
         # no other rule finds anything in the given tables; tests hold the others against known values

@@ -30,7 +30,7 @@ def test_files(spark):
     assert [r[0] for r in names.select(files.safe_name(F.col("n"))).collect()] == ["_CON.txt", "x_y_.pdf", "upload", "f.doc"]
     df = spark.createDataFrame([("scan 13812345678.tar.gz",), ("😀" * 220 + ".pdf",)], "n string")
     got = [r.new_name for r in files.redacted_names(df, "n", RuleSet().only("CN_MOBILE_PHONE")).collect()]
-    assert got[0] == "scan REDACTED_redacted.tar.gz" and len(got[1]) == 180 and got[1].endswith("_redacted.pdf")
+    assert got[0] == "scan REDACTED_脱敏.tar.gz" and len(got[1]) == 180 and got[1].endswith("_脱敏.pdf")
     c = files.capacity(spark.createDataFrame([("a.docx", 512 << 20), ("b.png", 64 << 20)], "n string, s long"), "n", "s").first()
     assert (c.files, c.bytes, c.peak) == (2, 576 << 20, (576 << 20) + c.workspace)
     m = spark.createDataFrame([("a.pdf", bytearray(b"%PDF-1")), ("a.png", bytearray(b"xx"))], "n string, c binary")

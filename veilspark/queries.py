@@ -283,6 +283,17 @@ def span_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return glyph_boxes(spans, glyphs, "c_custkey")
 
 
+def plate_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as six outputs of a plate detector; those that score enough, with their boxes."""
+    from veilspark.operators.plates import decoded
+
+    k, i = F.col("o_orderkey"), F.col("i")
+    o = _table(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.array(*map(F.lit, range(6)))).alias("i"))
+    location = F.transform(F.sequence(F.lit(0), F.lit(13)), lambda j: ((k * 7 + i * 11 + j * j * 13) % 41 - 20) / F.lit(8.0))
+    got = decoded(o.select("o_orderkey", ((k * 37 + i * 211) % 5000).cast("int").alias("prior"), location.alias("location"), F.array(F.lit(0.0), (k + i * 17) % 100 / F.lit(100.0)).alias("confidence"), ((k * 3 + i * 29) % 120 / F.lit(100.0)).alias("iou")), "o_orderkey")
+    return got.select("o_orderkey", "prior", F.round("score", 6).alias("score"), *(F.col(f"box.{c}").alias(c) for c in "xywh"))
+
+
 def media_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilspark.sources.probes import probed
 
@@ -384,7 +395,7 @@ def office_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.groupBy(F.col("file").cast("long").alias("doc_id")).agg(F.sum(F.length("text")).alias("chars"), F.sum(stars).alias("masked"))
 
 
-NAMES = ("media_probes", "model_regions", "media_not_ignored", "job_states", "selection_problems", "file_differences", "redacted_paths", "office_redacted", "validator_checks", "lexicon_detect", "archive_verdicts", "archive_reasons", "archive_bytes", "archive_manifest", "merged_reports", "usage_bytes", "newest_jobs", "illegal_event_changes", "peak_bytes", "spread_islands", "kept_originals", "text_helpers", "merged_media", "media_filters", "span_boxes", "lexicon_places", "capacity_estimate", "gold_metrics", "hits_by_source", "email_matches", "ipv4_matches", "all_rules", "masked_phones", "residual_after_masking", "blacklist_hits", "validator_aba", "validator_pesel", "event_status_changes", "latest_event", "event_islands", "order_report", "page_archive_categories")
+NAMES = ("media_probes", "model_regions", "media_not_ignored", "job_states", "selection_problems", "file_differences", "redacted_paths", "office_redacted", "validator_checks", "lexicon_detect", "archive_verdicts", "archive_reasons", "archive_bytes", "archive_manifest", "merged_reports", "usage_bytes", "newest_jobs", "illegal_event_changes", "peak_bytes", "spread_islands", "kept_originals", "text_helpers", "merged_media", "media_filters", "span_boxes", "plate_boxes", "lexicon_places", "capacity_estimate", "gold_metrics", "hits_by_source", "email_matches", "ipv4_matches", "all_rules", "masked_phones", "residual_after_masking", "blacklist_hits", "validator_aba", "validator_pesel", "event_status_changes", "latest_event", "event_islands", "order_report", "page_archive_categories")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -402,6 +413,13 @@ r AS (SELECT doc_id, id, g, CAST(1 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS a, C
 m AS (SELECT doc_id, array_to_string(g[a:b], '') AS d FROM r WHERE b IS NOT NULL)
 SELECT doc_id, d AS value FROM m WHERE list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 0 THEN CAST(d[i] AS INTEGER) ELSE (2 * CAST(d[i] AS INTEGER)) // 10 + (2 * CAST(d[i] AS INTEGER)) % 10 END)) % 10 = 0"""
 _FOUND = " UNION ALL ".join(f"SELECT '{rule}' AS rule_id, '{category}' AS category, * FROM ({q})" for rule, category, q in (("EMAIL_ADDRESS", "contact_location", _EMAIL), ("IPV4_ADDRESS", "network_security", _IPV4), ("BANK_CARD_NUMBER", "financial", _CARD)))
+_PLATES = """WITH lv AS (SELECT * FROM (VALUES (0, 8, 40, 30, [10, 16, 24]), (3600, 16, 20, 15, [32, 48]), (4200, 32, 10, 7, [64, 96]), (4340, 64, 5, 3, [128, 192, 256])) t(first, step, nc, nr, sizes)),
+c AS (SELECT *, unnest(range(nc * nr)) AS cell FROM lv), g AS (SELECT first + cell * len(sizes) + m - 1 AS prior, (cell % nc + 0.5::DOUBLE) * step / 320 AS cx, (cell // nc + 0.5::DOUBLE) * step / 240 AS cy, sizes[m] / 320 AS w, sizes[m] / 240 AS h FROM (SELECT *, unnest(range(1, len(sizes) + 1)) AS m FROM c)),
+o AS (SELECT o_orderkey, i, CAST((o_orderkey * 37 + i * 211) % 5000 AS INTEGER) AS prior, list_transform(range(14), lambda j: ((o_orderkey * 7 + i * 11 + j * j * 13) % 41 - 20) / 8 * 0.1::DOUBLE) AS v, sqrt((o_orderkey + i * 17) % 100 / 100 * least(1, (o_orderkey * 3 + i * 29) % 120 / 100)) AS score FROM orders, range(6) t(i)),
+d AS (SELECT o_orderkey, prior, score, list_transform([5, 7, 11, 13], lambda q: (cx + v[q] * w) * 320) AS xs, list_transform([5, 7, 11, 13], lambda q: (cy + v[q + 1] * h) * 240) AS ys FROM o JOIN g USING (prior) WHERE score >= 0.8),
+e AS (SELECT *, list_min(xs) AS x0, list_max(xs) - list_min(xs) AS w0, list_min(ys) AS y0, list_max(ys) - list_min(ys) AS h0 FROM d), p AS (SELECT *, greatest(4, floor(w0 * 0.08::DOUBLE + 0.5)) AS px, greatest(4, floor(h0 * 0.08::DOUBLE + 0.5)) AS py FROM e),
+b AS (SELECT *, CAST(greatest(0, floor(x0) - px) AS INTEGER) AS x, CAST(greatest(0, floor(y0) - py) AS INTEGER) AS y, CAST(least(320, ceil(x0 + w0) + px) AS INTEGER) AS r, CAST(least(240, ceil(y0 + h0) + py) AS INTEGER) AS l FROM p)
+SELECT o_orderkey, prior, round(score, 6) AS score, x, y, r - x AS w, l - y AS h FROM b WHERE r - x >= 2 AND l - y >= 2"""
 _FINDINGS = "WITH f AS (SELECT CAST(user_id % 5 AS INTEGER) AS file, CAST(user_id % 4 AS INTEGER) AS stream, list_extract(['AUDIO', 'SUBTITLE', 'FACE', 'OCR_TEXT'], CAST(event_id % 4 + 1 AS INTEGER)) AS kind, CASE WHEN event_id % 3 = 0 THEN ' ' ELSE event_type END AS value, epoch_us(ts) // 1000 AS start_ms, epoch_us(ts) // 1000 + 60000 + event_id % 5 * 1000 AS end_ms, CAST(event_id % 700 - 20 AS INTEGER) AS x, CAST(event_id % 500 - 20 AS INTEGER) AS y, CAST(event_id % 90 AS INTEGER) AS w, CAST(event_id % 70 AS INTEGER) AS h, event_id % 100 / 100 AS confidence, 'c' || event_id AS context FROM events)"
 _DIGIT = "CAST(substr(v, {}, 1) AS INTEGER)"
 
@@ -468,6 +486,7 @@ def oracle_sql() -> dict[str, str]:
         "spread_islands": "WITH e AS (SELECT CASE WHEN event_id % 3 = 0 THEN 'hot' ELSE CAST(user_id AS VARCHAR) END AS kind, epoch_us(ts) // 1000 AS s, epoch_us(ts) // 1000 + 60000 + event_id % 7 * 100000 AS t FROM events), m AS (SELECT *, CASE WHEN s - max(t) OVER (PARTITION BY kind ORDER BY s, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 300000 THEN 0 ELSE 1 END AS b FROM e), i AS (SELECT *, sum(b) OVER (PARTITION BY kind ORDER BY s, t ROWS UNBOUNDED PRECEDING) AS g FROM m) SELECT kind, min(s) AS start_ms, max(t) AS end_ms, count(*) AS n FROM i GROUP BY kind, g",
         "kept_originals": f"SELECT DISTINCT doc_id, value FROM ({_IPV4})",
         "text_helpers": "SELECT c_custkey, trim(substr('<a&b> ' || c_name || '\"', 1, 20)) AS message, ' &lt;a&amp;b&gt;' || chr(10) || chr(9) || c_name || '&quot; ' AS html, printf('%02d:%02d:%02d.%03d', m // 3600000, m % 3600000 // 60000, m % 60000 // 1000, m % 1000) AS clock, regexp_full_match(c_name, '[A-Za-z0-9._-]{1,80}') AS valid FROM (SELECT *, CAST(c_custkey AS BIGINT) * 12345 AS m FROM customer)",
+        "plate_boxes": _PLATES,
         "span_boxes": "WITH g AS (SELECT c_custkey, p, p // 80 AS line, p % 80 * 6 AS x, p // 80 * 10 AS y FROM (SELECT c_custkey, unnest(range(c_custkey % 400 + 101)) AS p FROM customer) WHERE p % 11 <> 0), s AS (SELECT DISTINCT o_custkey AS c_custkey, CAST(o_orderkey % 450 AS INTEGER) AS start, CAST(o_orderkey % 450 + o_orderkey % 130 AS INTEGER) AS \"end\" FROM orders) SELECT c_custkey, start, \"end\", line, min(x) AS x, min(y) AS y, max(x) + 5 - min(x) AS w, max(y) + 9 - min(y) AS h, count(*) AS glyphs FROM s JOIN g USING (c_custkey) WHERE p >= start AND p < \"end\" GROUP BY ALL",
         "merged_media": _FINDINGS + ", u AS (SELECT *, CASE WHEN start_ms - max(end_ms) OVER (PARTITION BY file, stream, kind ORDER BY start_ms, end_ms, value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 7200000 THEN 0 ELSE 1 END AS b FROM f WHERE kind IN ('AUDIO', 'SUBTITLE')), g AS (SELECT *, sum(b) OVER (PARTITION BY file, stream, kind ORDER BY start_ms, end_ms, value ROWS UNBOUNDED PRECEDING) AS i FROM u) SELECT file, stream, kind, coalesce(arg_min(value, (start_ms, end_ms, value)) FILTER (trim(value) <> ''), '') AS value, min(start_ms) AS start_ms, max(end_ms) AS end_ms, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h, max(confidence) AS confidence, arg_min(context, (start_ms, end_ms, value)) AS context, count(*) AS n FROM g GROUP BY file, stream, kind, i UNION ALL SELECT file, stream, kind, value, start_ms, end_ms, x, y, w, h, confidence, context, 1 FROM f WHERE kind NOT IN ('AUDIO', 'SUBTITLE')",
         "media_filters": _FINDINGS + ", s AS (SELECT CAST(i % 5 AS INTEGER) AS file, CAST(i // 5 AS INTEGER) AS stream, list_extract(['video', 'video', 'audio', 'subtitle', 'audio'], CAST(i // 5 + 1 AS INTEGER)) AS type FROM range(25) t(i)), j AS (SELECT s.*, f.* EXCLUDE (file, stream) FROM s LEFT JOIN f ON f.file = s.file AND f.stream = s.stream AND CASE WHEN kind IN ('AUDIO', 'SUBTITLE') THEN 'audio' ELSE 'video' END = type WHERE type <> 'subtitle'), n AS (SELECT *, CAST(row_number() OVER (PARTITION BY file, type ORDER BY stream, start_ms, end_ms, x, y, value) - 1 AS INTEGER) AS place FROM j), p AS (SELECT *, type[1] || place AS label, coalesce(type[1] || lag(place) OVER (PARTITION BY file, type, stream ORDER BY place), '0:' || stream) AS src, ':enable=' || chr(39) || printf('between(t,%.3f,%.3f)', start_ms / 1000, end_ms / 1000) || chr(39) AS t FROM n) SELECT file, type, place, stream, '[' || src || ']' || CASE WHEN start_ms IS NULL THEN CASE WHEN type = 'video' THEN 'null' ELSE 'anull' END WHEN type = 'video' THEN printf('drawbox=x=%d:y=%d:w=%d:h=%d:color=black:t=fill', least(greatest(x, 0), 639), least(greatest(y, 0), 479), least(greatest(w, 2), 640), least(greatest(h, 2), 480)) || t ELSE 'volume=0' || t END || '[' || label || ']' AS line, label FROM p",

@@ -55,6 +55,7 @@ def glyph_boxes(spans: DataFrame, glyphs: DataFrame, key: str, reach: int = 64)
     first, last = F.floor(F.col("start") / reach), F.floor((F.col("end") - 1) / reach)
     parts = cut.withColumn("_b", F.explode(F.sequence(first, last)))
     placed = glyphs.where("w > 0 AND h > 0").select(F.col(key).alias("_k"), F.floor(F.col("at") / reach).alias("_g"), "at", "line", "x", "y", "w", "h")
-    met = parts.join(placed, (F.col(key) == F.col("_k")) & (F.col("_b") == F.col("_g")) & (F.col("at") >= F.col("start")) & (F.col("at") < F.col("end")))
+    # page and glyphs look small to the optimizer, which sees the columns they are made from; sorted, neither is sent to the driver
+    met = parts.hint("merge").join(placed, (F.col(key) == F.col("_k")) & (F.col("_b") == F.col("_g")) & (F.col("at") >= F.col("start")) & (F.col("at") < F.col("end")))
     right, low = F.max(F.col("x") + F.col("w")), F.max(F.col("y") + F.col("h"))
     return met.groupBy(key, "start", "end", "line").agg(F.min("x").alias("x"), F.min("y").alias("y"), (right - F.min("x")).alias("w"), (low - F.min("y")).alias("h"), F.count(F.lit(1)).alias("glyphs"))

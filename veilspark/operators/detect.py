@@ -159,16 +159,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if cores > 1 and size <= SMALL * cores else df
 
 
-def candidates(df: DataFrame, rules: RuleSet, text: str = "text", out: str = "candidates") -> DataFrame:
-    """`df` with an array of all valid candidates; a null or empty text has none."""
-    names, body, enabled = df.columns, F.col(text), rules.enabled
+def _candidates(body: Column, rules: RuleSet) -> Column:
     spans = _none()
-    if enabled:
-        own = _Rules(enabled)
+    if rules.enabled:
+        own = _Rules(rules.enabled)
         spans = F.filter(F.flatten(F.transform(_hits(body, own), _spans)), lambda x: _valid(x, body, own, rules.whitelist))
     black = [F.coalesce(_black(body, t, 10_000 + i), _none()) for i, t in enumerate(rules.blacklist)]
     every = F.concat(F.coalesce(spans, _none()).cast(f"array<{SPAN}>"), *black)
-    return df.select(*names, F.coalesce(every, _none()).alias(out))
+    return F.coalesce(every, _none())
+
+
+def candidates(df: DataFrame, rules: RuleSet, text: str = "text", out: str = "candidates") -> DataFrame:
+    """`df` with an array of all valid candidates; a null or empty text has none."""
+    return df.select(*df.columns, _candidates(F.col(text), rules).alias(out))
 
 
 def selected(spans: Column) -> Column:
@@ -290,11 +293,26 @@ def rewritten(text: Column, found: Column, replace) -> Column:
     return F.aggregate(found, start, step, lambda a: F.concat(a["out"], F.substring(text, a["pos"] + 1, F.length(text))))
 
 
-def redact(df: DataFrame, rules: RuleSet | None = None, text: str = "text", key: bytes | None = None, out: str = "redacted") -> DataFrame:
-    """`df` with `text` masked, or with keyed pseudonyms, in `out`; a null text becomes empty."""
-    replace = (lambda v, r: mask(v)) if key is None else pseudonym(key)
-    body = F.coalesce(F.col(text), F.lit(""))
-    return detect(df, rules, text).withColumn(out, F.when(F.size("found") > 0, rewritten(body, F.col("found"), replace)).otherwise(body))
+#: A masked value can free its neighbour: digits before an address make no card number until the address is masked. So many passes are made.
+MOST_PASSES = 8
+
+
+def redact(df: DataFrame, rules: RuleSet | None = None, text: str = "text", key: bytes | None = None, out: str = "redacted", passes: int = 1) -> DataFrame:
+    """`df` with `text` masked, or with keyed pseudonyms, in `out`; a null text becomes empty. `found` has what the first
+    pass finds. Each further pass looks at the texts that the pass before it changed."""
+    rules, replace = rules or RuleSet(), (lambda v, r: mask(v)) if key is None else pseudonym(key)
+    new = lambda body, found: F.when(F.size(found) > 0, rewritten(body, found, replace)).otherwise(body)
+    seen = detect(df, rules, text).withColumn(out, new(F.coalesce(F.col(text), F.lit("")), F.col("found")))
+    if passes < 2:
+        return seen
+
+    def again(a: Column, _: Column) -> Column:
+        more = let(_candidates(a["text"], rules), selected)
+        return F.when(a["go"], let(more, lambda m: F.struct(new(a["text"], m).alias("text"), (F.size(m) > 0).alias("go")))).otherwise(a)
+
+    start = F.struct(F.col(out).alias("text"), F.lit(True).alias("go"))
+    rest = F.aggregate(F.sequence(F.lit(2), F.lit(passes)), start, again, lambda a: a["text"])
+    return seen.withColumn(out, F.when(F.size("found") > 0, rest).otherwise(F.col(out)))
 
 
 def residual(df: DataFrame, rules: RuleSet | None = None, keys: tuple[str, ...] = ("doc_id",), text: str = "redacted") -> DataFrame:

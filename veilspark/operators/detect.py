@@ -225,9 +225,11 @@ def detect_with_lexicon(df: DataFrame, lexicon: DataFrame, rules: RuleSet | None
     return joined.withColumn(out, every).drop("_c", "_known", "_places").withColumn(out, selected(F.col(out)))
 
 
-def matches(df: DataFrame, rules: RuleSet | None = None, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """A row for each value found: keys, rule_id, category, priority, start, end, value."""
-    found = detect(spread(df.select(*keys, text)), rules, text)
+def matches(df: DataFrame, rules: RuleSet | None = None, keys: tuple[str, ...] = ("doc_id",), text: str = "text", overlapping: bool = False) -> DataFrame:
+    """A row for each value found: keys, rule_id, category, priority, start, end, value. `overlapping`: also for each valid
+    value that gives way to one of another rule."""
+    find = candidates if overlapping else detect
+    found = find(spread(df.select(*keys, text)), rules or RuleSet(), text, "found")
     # the outer form, since for the other one the optimizer adds a filter that detects everything again
     found = found.select(*keys, F.explode_outer("found").alias("x")).where("x IS NOT NULL")
     return found.select(*keys, *(F.col(f"x.{c}").alias(c) for c in ("rule_id", "category", "priority", "start", "end", "value")))

@@ -261,6 +261,37 @@ def test_decontamination_small_and_plain_items(spark):
     assert got == [(i, i) for i in range(1, 7)] + [(24, 4), (26, 6), (41, 1)]
 
 
+def test_decontamination_by_a_large_benchmark(spark):
+    from veilspark.llm.decontaminate import Matching, leaks, matches
+
+    items = [(i, prose(300 + i, 30)) for i in range(6)] + [(None, prose(300, 30)), (9, None)] + [(10 + i, prose(301, 30)) for i in range(40)]
+    docs = [(i, f"Noise {i} first. " + items[i % 6][1] + " noise after. " + prose(900 + i, 200)) for i in range(24)] + [(None, items[0][1])] * 3 + [(50, ""), (51, None)]
+    docs, bench = frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda df: sorted(map(str, df.drop("k").collect()))
+    got = rows(leaks(docs, bench))
+    assert len(got) == 24 + 4 * 40 + 4 + 2
+    for most_bytes in (20_000, 0):
+        assert rows(leaks(docs, bench, Matching(most_bytes=most_bytes))) == got
+
+    def joined(plan):
+        kids = [plan.children().apply(i) for i in range(plan.children().size())]
+        if plan.nodeName() == "Join":
+            yield plan.joinType().toString(), plan.condition().toString(), [{k.output().apply(i).name() for i in range(k.output().size())} for k in kids]
+        for k in kids:
+            yield from joined(k)
+
+    def windows_joined(df):
+        return [(how, sides[0]) for how, on, sides in joined(df._jdf.queryExecution().optimizedPlan()) if "(w#" in on]
+
+    # what is shuffled for the windows' join holds a window's words at most, not the text's
+    (how, left), (semi, _) = windows_joined(matches(docs, bench, Matching(most_bytes=20_000)))
+    assert (how, semi) == ("Inner", "LeftSemi") and "own" in left and "v" not in left
+    ((how, left),) = windows_joined(matches(docs, bench, Matching(most_bytes=0)))
+    assert how == "Inner" and not left & {"own", "v"}
+    # items with the same texts are looked for once, so their windows are few enough here
+    assert len(windows_joined(leaks(docs, bench, Matching(most_bytes=60_000)))) == 1 and len(windows_joined(matches(docs, bench, Matching(most_bytes=60_000)))) == 2
+
+
 def test_quality_rules_measures(spark, rows):
     from veilspark.llm.quality_rules import quality_rules
 
